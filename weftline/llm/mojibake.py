@@ -36,13 +36,20 @@ KNOWN_DOCUMENTS = 2
 KNOWN_TIMES = 3
 #: Words of a transformation that are known once restored, for the vocabulary alone to teach it.
 VOCABULARY_WORDS = 3
+#: Times that UTF-8 may have been misread, one after the other.
+MISREADINGS = 4
+#: Characters that a word of another single-byte encoding has at least; fewer are too easily another sign.
+OWN_CHARACTERS = 3
 
 _WORD = re.compile("[A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z\x80-\U0010ffff]*")
 _RUN = re.compile("[\x80-\U0010ffff]+")
 _LETTER = re.compile("[A-Za-z]")
 #: What no writer types: the replacement character, and C1 controls but for the next-line character.
 _BROKEN = re.compile("[�\x80-\x84\x86-\x9f]")
-_SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "HIRAGANA", "KATAKANA", "CJK", "HANGUL", "IDEOGRAPHIC", "FULLWIDTH", "HALFWIDTH")
+# Signs usual within prose, and the code points of letters and marks in common use (Latin
+# of European languages and Vietnamese, Greek, Cyrillic, Japanese, Chinese, Korean, full-width forms).
+_PROSE = "“”‘’„‚«»–—…¿¡°µ±§·½"
+_LETTERS = [(0x80, 0x24F), (0x370, 0x3FF), (0x400, 0x45F), (0x1E00, 0x1EFF), (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0xFF00, 0xFFEF)]
 
 
 @lru_cache(maxsize=None)
@@ -80,28 +87,42 @@ def undo(text: str, written: str, read: str) -> str | None:
 
 
 def _undone(word: str) -> dict[str, list[str]]:
-    """All texts that a transformation could have made into ``word``, with their transformations."""
+    """All texts that a transformation could have made into ``word``, with their transformations.
+
+    UTF-8 misread repeatedly is undone as often as that goes on giving shorter text.
+    """
     out: dict[str, list[str]] = {}
     for read in (*SINGLE_BYTE, *MULTI_BYTE):
         data = _encode(word, read)
         if data is None or data.isascii():
             continue
         for written in (*SINGLE_BYTE, *MULTI_BYTE):
-            if written != read and (back := _decode(data, written)) is not None and back != word and not _BROKEN.search(back):
-                out.setdefault(back, []).append(f"{written}>{read}")
+            back = None if written == read else _decode(data, written)
+            for _ in range(MISREADINGS):
+                if back is None or back == word:
+                    break
+                if not _BROKEN.search(back):
+                    out.setdefault(back, []).append(f"{written}>{read}")
+                further = undo(back, written, read) if written == "utf_8" else None
+                back = further if further and len(further) < len(back) else None
     return out
 
 
 def _natural(text: str) -> bool:
-    """Whether all characters are of common scripts, punctuation or symbols."""
+    """Whether all characters are punctuation, symbols, or letters in common use."""
     for c in text:
         if c > "\x7f":
-            kind = unicodedata.category(c)
-            if kind[0] == "C" or (kind[0] in "LM" and not unicodedata.name(c, "").startswith(_SCRIPTS)):
+            kind = unicodedata.category(c)[0]
+            if kind == "C" or (kind in "LM" and not any(a <= ord(c) <= z for a, z in _LETTERS)):
                 return False
     return True
 
 
+def _plain(text: str) -> bool:
+    """Whether all non-ASCII characters are letters in common use, or signs that are usual within prose."""
+    return _natural(text) and all(c <= "\x7f" or c.isalpha() or c in _PROSE or "\u3000" <= c <= "\u30ff" or c >= "\uff00" for c in text)
+
+
 def _runs(line: str) -> dict[int, str]:
     """The runs of non-ASCII characters by their place in the line stripped of them."""
     out, gone = {}, 0
@@ -247,15 +268,19 @@ class GarbledText:
         utf8 = [t for t in active if t.startswith("utf_8>")]
         by_word = F.arrays_overlap("how", F.array(*[F.lit(t) for t in active]))
         by_form = F.arrays_overlap("how", F.array(*[F.lit(t) for t in utf8])) if utf8 else F.lit(False)
-        chosen = judged.where((F.col("better") & by_word) | by_form)
+        chosen = judged.where((F.col("better") & by_word) | by_form).select("word", "restored", F.coalesce("m", F.lit(0)).alias("m"), by_form.alias("by_form"), "better")
 
         def check(batches):
             for b in batches:
-                keep = [bool(x) or _natural(r) for x, r in zip(b.column(3).to_pylist(), b.column(1).to_pylist())]
+                word, back, by_utf8, better = (b.column(k).to_pylist() for k in (0, 1, 3, 4))
+                keep = [
+                    (u and (k or _natural(r))) or (not u and len(w) >= OWN_CHARACTERS and _plain(r))
+                    for w, r, u, k in zip(word, back, by_utf8, better)
+                ]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        chosen = chosen.select("word", "restored", F.coalesce("m", F.lit(0)).alias("m"), "better").mapInArrow(check, "word string, restored string, m long, better boolean")
-        best = chosen.groupBy("word").agg(F.max(F.struct("m", "restored"))["restored"].alias("restored"))
+        chosen = chosen.mapInArrow(check, "word string, restored string, m long, by_form boolean, better boolean")
+        best = chosen.groupBy("word").agg(F.max(F.struct("m", (-F.length("restored")).alias("short"), "restored"))["restored"].alias("restored"))
         broken = known.where(F.col("word").rlike("[\\x{FFFD}\\x{80}-\\x{84}\\x{86}-\\x{9f}]")).select("word")
         return broken.select("word").union(best.select("word")).distinct().join(best, "word", "left")
 
@@ -275,8 +300,6 @@ class GarbledText:
             [T.StructField("key", self.documents.schema[self.key].dataType), T.StructField("restored_text", T.StringType())]
             + [T.StructField("n_restored", T.LongType()), T.StructField("n_lost", T.LongType())]
         )
-        again = [t.split(">") for t in self.active if t.startswith("utf_8>")]
-
         def fix(batches):
             for b in batches:
                 keys, texts, good, lost = [], [], [], []
@@ -289,11 +312,6 @@ class GarbledText:
                             return m[0]
                         back = table[m[0]]
                         n[back is None] += 1
-                        for _ in range(3):
-                            further = [x for w, r in again if back and not back.isascii() and (x := undo(back, w, r)) and _natural(x) and not _BROKEN.search(x)]
-                            if not further:
-                                break
-                            back = min(further, key=len)
                         return m[0] if back is None else back
 
                     texts.append(_WORD.sub(one, t))
