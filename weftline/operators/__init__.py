@@ -1 +1 @@
-
+"""Operators over DataFrames and topologies."""

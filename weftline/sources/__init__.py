@@ -1 +1 @@
-
+"""Where frames come from: files, memory, other libraries, known datasets."""
