@@ -1,37 +1,15 @@
-"""Queries of the core: one for each operator, over the tables in a directory, and their SQL."""
+"""Queries on data quality and skew: dangling references, unreadable rows, per-key totals."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.catalog.registry import query, read
 from weftline.operators.dense_counts import busy_keys, dense_totals
 from weftline.operators.orphans import orphan_references, orphan_report
 from weftline.operators.strict_load import rejected_records, strict_load
 
-__all__ = ["QUERIES", "SQL"]
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            SQL[key] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
-
-
 # ---- references to records that do not exist
 
 _ORPHANS = """with life as (

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-__all__ = ["col", "fresh", "require", "checkpoint", "shuffle_width"]
+__all__ = ["col", "fresh", "require", "checkpoint", "shared_folder"]
 
 
 def col(name: str) -> Column:
@@ -38,18 +38,17 @@ def require(df: DataFrame, *names: str) -> None:
             raise ColumnNotFoundError(f"column not found: {name!r}; the columns are {df.columns}")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` by writing it to the shared folder in ``spark.checkpoint.dir``.
-
-    The folder named by the session is used as it is, so an executor can be lost later. Only where
-    the session names none (tests on one machine) is a temporary folder set.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests on one machine), one of our own."""
+    sc = spark.sparkContext
+    if not (known := sc._jsc.sc().getCheckpointDir()).isEmpty():
+        return known.get()
+    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` by writing it to the shared folder, so that executors can be lost later."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -196,19 +196,13 @@ def lower(e: Expr, df: DataFrame, roles: dict[str, str]) -> Column:
             if op == "/":
                 left, right = (f.dataType for f in df.select(a.alias("a"), b.alias("b")).schema.fields)
                 if _integral(left) and _integral(right):  # two integers divide to an integer, toward zero
-                    return _whole_quotient(a, b)
+                    return F.call_function("div", a, b)
                 return a.cast("double") / b.cast("double")
             return _apply(op, a, b)
         case _:
             raise NotImplementedError(f"{e!r} has no value in each row")
 
 
-def _whole_quotient(a: Column, b: Column) -> Column:
-    """``a div b``: exact for all integers, since the dividend is made a multiple first."""
-    a, b = a.cast("long"), b.cast("long")
-    return F.floor((a - a % b).cast("decimal(20,0)") / b.cast("decimal(20,0)")).cast("long")
-
-
 def _apply(op: str, a: Column, b: Column) -> Column:
     match op:
         case "+":

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import urllib.parse
 import urllib.request
 from dataclasses import dataclass, field
@@ -11,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from weftline.columns import col
+from weftline.columns import col, shared_folder
 from weftline.errors import ColumnNotFoundError, ComputeError
 from weftline.frames import EdgeFrame, MaterializedFrame, NodeFrame
 from weftline.sources.memory import session
@@ -108,8 +107,7 @@ class Scan:
 
 def _fetched(url: str) -> str:
     """One file over HTTP, brought to a folder that all tasks of this session can read."""
-    folder = session().conf.get("spark.checkpoint.dir", None)
-    folder = urllib.parse.urlsplit(folder).path if folder else tempfile.mkdtemp(prefix="weftline-http-")
+    folder = os.path.join(urllib.parse.urlsplit(shared_folder(session())).path, "http")
     os.makedirs(folder, exist_ok=True)
     local = os.path.join(folder, f"{abs(hash(url)):x}-" + os.path.basename(urllib.parse.urlsplit(url).path))
     try:
