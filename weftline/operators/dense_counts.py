@@ -61,7 +61,7 @@ def dense_totals(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
 
     ``n_rows`` counts all rows with the key, repeated ones too; ``total_weight`` sums the weights that
     are not null, and is null if there is none. Null keys are no keys; the empty string is one. Names
-    are compared exactly. ``weight`` is an integer column. Other columns are ignored, and an empty
+    are compared exactly. ``weight`` is an integer column; a sum beyond 64 bits is an error. Other columns are ignored, and an empty
     input has no keys.
     """
     require(df, *keys, weight)
