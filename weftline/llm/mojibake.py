@@ -28,6 +28,11 @@ __all__ = ["GarbledText", "undo", "transformations"]
 SINGLE_BYTE = ("latin_1 cp1252 cp1250 cp1251 cp1253 cp1254 cp1257 iso8859_2 iso8859_15 koi8_r cp866 cp437 cp850 cp852 mac_roman mac_cyrillic").split()
 MULTI_BYTE = "utf_8 cp932 euc_jp gbk euc_kr big5".split()
 
+#: Encodings that text may have been written in, and those it may have been read in: bytes that are valid
+#: UTF-8 were meant to be, and others read as UTF-8 leave replacement characters.
+WRITTEN = [*SINGLE_BYTE, *MULTI_BYTE]
+READ = [e for e in WRITTEN if e != "utf_8"]
+
 #: Letters that a line has to have besides its non-ASCII characters, to be told from others by them;
 #: lines of fewer are told by the lines before, too.
 OWN_LETTERS = 8
@@ -35,7 +40,7 @@ OWN_LETTERS = 8
 KNOWN_DOCUMENTS = 2
 KNOWN_TIMES = 3
 #: Words of a transformation that are known once restored, for the vocabulary alone to teach it.
-VOCABULARY_WORDS = 3
+VOCABULARY_WORDS = 2
 #: Times that UTF-8 may have been misread, one after the other.
 MISREADINGS = 4
 #: Characters that a word of another single-byte encoding has at least; fewer are too easily another sign.
@@ -75,8 +80,7 @@ def _decode(data: bytes, encoding: str) -> str | None:
 
 def transformations() -> list[tuple[str, str]]:
     """All ``(written, read)`` pairs of encodings considered."""
-    names = [*SINGLE_BYTE, *MULTI_BYTE]
-    return [(w, r) for r in names for w in names if w != r]
+    return [(w, r) for r in READ for w in WRITTEN if w != r]
 
 
 def undo(text: str, written: str, read: str) -> str | None:
@@ -92,11 +96,11 @@ def _undone(word: str) -> dict[str, list[str]]:
     UTF-8 misread repeatedly is undone as often as that goes on giving shorter text.
     """
     out: dict[str, list[str]] = {}
-    for read in (*SINGLE_BYTE, *MULTI_BYTE):
+    for read in READ:
         data = _encode(word, read)
         if data is None or data.isascii():
             continue
-        for written in (*SINGLE_BYTE, *MULTI_BYTE):
+        for written in WRITTEN:
             back = None if written == read else _decode(data, written)
             for _ in range(MISREADINGS):
                 if back is None or back == word:
@@ -135,20 +139,39 @@ def _runs(line: str) -> dict[int, str]:
 def _between(garbled: str, clean: str) -> list[str]:
     """Transformations that turn ``clean`` into ``garbled``; UTF-8 may have been misread repeatedly."""
     out = []
-    for read in (*SINGLE_BYTE, *MULTI_BYTE):
+    for read in READ:
         if (data := _encode(garbled, read)) is not None:
-            out += [f"{w}>{read}" for w in (*SINGLE_BYTE, *MULTI_BYTE) if w != read and _encode(clean, w) == data]
+            out += [f"{w}>{read}" for w in WRITTEN if w != read and _encode(clean, w) == data]
             back = _decode(data, "utf_8")
             if back and back not in (garbled, clean) and len(back) < len(garbled) and _encode(back, read) is not None and undo(back, "utf_8", read) == clean:
                 out.append(f"utf_8>{read}")
     return out
 
 
+def _restored_line(line: str, table: dict, n: list[int]) -> str:
+    """The line with its garbled words replaced; ``n`` counts those restored and those that stay."""
+    ways = {how for m in _WORD.finditer(line) if (f := table.get(m[0])) and f["how"] for how in f["how"] if not how.startswith("utf_8>")}
+
+    def one(m: re.Match) -> str:
+        word, back = m[0], None
+        if word in table:
+            back = table[word]["restored"]
+            n[back is None] += 1
+        elif len(word) < OWN_CHARACTERS:
+            found = [x for how in sorted(ways) if (x := undo(word, *how.split(">"))) and len(x) == len(word) and _plain(x)]
+            back = found[0] if found else None
+            n[0] += back is not None
+        return word if back is None else back
+
+    return _WORD.sub(one, line)
+
+
 class GarbledText:
     """The affected documents of a corpus, and their restored text.
 
     ``words`` has ``(key, word)``, each word with non-ASCII characters of each document; ``verdicts`` has
-    ``(word, restored)`` for each garbled word, ``restored`` null where the original can't be had.
+    ``(word, restored, how)`` for each garbled word: its original, null where that can't be had, and the
+    transformations that it went through.
 
     Null and empty texts are not affected, nor are texts of ASCII only. Repeated rows are kept: a
     document comes out once for each identifier, null identifiers as one. Whole texts are read; further
@@ -268,7 +291,8 @@ class GarbledText:
         utf8 = [t for t in active if t.startswith("utf_8>")]
         by_word = F.arrays_overlap("how", F.array(*[F.lit(t) for t in active]))
         by_form = F.arrays_overlap("how", F.array(*[F.lit(t) for t in utf8])) if utf8 else F.lit(False)
-        chosen = judged.where((F.col("better") & by_word) | by_form).select("word", "restored", F.coalesce("m", F.lit(0)).alias("m"), by_form.alias("by_form"), "better")
+        chosen = judged.where((F.col("better") & by_word) | by_form)
+        chosen = chosen.select("word", "restored", F.coalesce("m", F.lit(0)).alias("m"), by_form.alias("by_form"), "better", "how")
 
         def check(batches):
             for b in batches:
@@ -279,8 +303,9 @@ class GarbledText:
                 ]
                 yield b.filter(pa.array(keep, pa.bool_()))
 
-        chosen = chosen.mapInArrow(check, "word string, restored string, m long, by_form boolean, better boolean")
-        best = chosen.groupBy("word").agg(F.max(F.struct("m", (-F.length("restored")).alias("short"), "restored"))["restored"].alias("restored"))
+        chosen = chosen.mapInArrow(check, "word string, restored string, m long, by_form boolean, better boolean, how array<string>")
+        best = chosen.groupBy("word").agg(F.max(F.struct("m", (-F.length("restored")).alias("short"), "restored", "how")).alias("b"))
+        best = best.select("word", "b.restored", "b.how")
         broken = known.where(F.col("word").rlike("[\\x{FFFD}\\x{80}-\\x{84}\\x{86}-\\x{9f}]")).select("word")
         return broken.select("word").union(best.select("word")).distinct().join(best, "word", "left")
 
@@ -292,34 +317,25 @@ class GarbledText:
         """``(key, restored_text, n_restored, n_lost)`` of each affected document.
 
         Garbled words are replaced by their originals, again and again where they were garbled repeatedly;
-        ``n_lost`` words have none and stay. The verdicts of a document come to it by a join on its words.
+        ``n_lost`` words have none and stay. Words too short to be judged by themselves follow the others of their
+        line. The verdicts of a document come to it by a join on its words.
         """
         hits = self.words.join(self.verdicts, "word")
-        per_doc = hits.distinct().groupBy("key").agg(F.collect_list(F.struct("word", "restored")).alias("fixes"))
+        per_doc = hits.distinct().groupBy("key").agg(F.collect_list(F.struct("word", "restored", "how")).alias("fixes"))
         schema = T.StructType(
             [T.StructField("key", self.documents.schema[self.key].dataType), T.StructField("restored_text", T.StringType())]
             + [T.StructField("n_restored", T.LongType()), T.StructField("n_lost", T.LongType())]
         )
         def fix(batches):
             for b in batches:
-                keys, texts, good, lost = [], [], [], []
-                for i, (t, fixes) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
-                    table = {f["word"]: f["restored"] for f in fixes}
-                    n = [0, 0]
-
-                    def one(m):
-                        if m[0] not in table:
-                            return m[0]
-                        back = table[m[0]]
-                        n[back is None] += 1
-                        return m[0] if back is None else back
-
-                    texts.append(_WORD.sub(one, t))
-                    keys.append(i), good.append(n[0]), lost.append(n[1])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(keys, pa.int64())), pa.array(texts, pa.string()), pa.array(good, pa.int64()), pa.array(lost, pa.int64())],
-                    names=schema.names,
-                )
+                texts, good, lost = [], [], []
+                for t, fixes in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    lines, n = [], [0, 0]
+                    table = {f["word"]: f for f in fixes}
+                    for line in t.split("\n"):
+                        lines.append(line if line.isascii() else _restored_line(line, table, n))
+                    texts.append("\n".join(lines)), good.append(n[0]), lost.append(n[1])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(good, pa.int64()), pa.array(lost, pa.int64())], names=schema.names)
 
         joined = self._source().join(per_doc, "key").select("key", "text", "fixes")
         return joined.mapInArrow(fix, schema).withColumnRenamed("key", self.key)
