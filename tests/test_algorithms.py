@@ -146,6 +146,15 @@ def test_distributed_loops_against_brute_force(spark, distributed):
     check_all(random_graph(3, n=9, m=18))
 
 
+def test_distributed_pagerank_with_hubs(spark, distributed, monkeypatch):
+    from weftline.operators import distributed as loops
+
+    edges = [(0, k, 1) for k in range(1, 60)] + [(k, 0, 2) for k in range(1, 60, 2)] + random_graph(6)
+    for hubs in (1, 4, 1000):
+        monkeypatch.setattr(loops, "HUBS_A_PARTITION", hubs)
+        close(values(w.pagerank(w.from_edgelist(edges), max_iter=5, tol=0.0, weight=w.col("weight"))), brute_pagerank(edges, 0.85, 5, True))
+
+
 def test_diamond(spark):
     e = w.from_edgelist(DIAMOND)
     assert values(w.degree(e)) == {0: 2, 1: 1, 2: 1}

@@ -51,6 +51,8 @@ def test_expressions(nodes):
     negative = w.NodeFrame([{"id": 0, "x": -7}], id="id")
     assert ids(negative.filter(w.col("x") / 2 == -3)) == [0]
     assert repr((c + 1 > 3) & ~(w.id() == 2)) == "(((col('capacity') + 1) > 3) & ~(id() == 2))"
+    with pytest.raises(w.ComputeError):
+        nodes.filter(c / (w.id() - w.id()) == 1).to_dicts()
     with pytest.raises(TypeError):
         hash(c)
     with pytest.raises(TypeError):
@@ -227,6 +229,9 @@ def test_topology_is_shared(spark):
     filtered = edges.filter(w.src() > 0)
     assert sorted(ids(w.degree(filtered))) == [1, 2]
     assert topology.builds() == before + 2
+    edges.release()
+    w.degree(edges).collect()
+    assert topology.builds() == before + 3
     assert "preserved" in renamed.explain() and "dropped" in filtered.explain()
     assert filtered.explain().splitlines()[1] == "  0: filter(predicate=(src() > 0))"
     assert "Physical Plan" in filtered.explain(physical=True)

@@ -20,9 +20,9 @@ from weftline.columns import checkpoint, col
 from weftline.errors import ColumnNotFoundError, ComputeError
 from weftline.functions.expr import Expr
 from weftline.operators import kernels as K
-from weftline.operators.distributed import component_roots, label_votes, pagerank_loop, source_distances, source_dependencies, strong_component_roots
+from weftline.operators.distributed import component_roots, label_votes, louvain_rounds, pagerank_loop, source_distances, source_dependencies, strong_component_roots
 from weftline.operators.tail import DEFAULT_SEED
-from weftline.topology import Topology, encode
+from weftline.topology import Topology, encode, kernel_edges
 
 __all__ = ["degree", "pagerank", "connected_components", "triangle_count", "clustering_coefficient", "closeness", "betweenness", "label_propagation", "louvain", "neighbors_agg", "distance_totals"]
 
@@ -262,12 +262,8 @@ def louvain(t: Topology, weight: Expr | None = None, resolution: float = 1.0, se
     """
     pairs = t.weighted(weight).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
     if not t.small:
-        from weftline.topology import kernel_edges
-
         pairs = checkpoint(pairs)
         if pairs.count() > kernel_edges(pairs):
-            from weftline.operators.distributed import louvain_rounds
-
             return louvain_rounds(t, pairs, resolution, DEFAULT_SEED if seed is None else seed)
     chosen = DEFAULT_SEED if seed is None else seed
     return whole_graph(t, pairs, T.LongType(), lambda n, s, d, w: K.louvain(n, s, d, w, resolution, chosen))
@@ -277,7 +273,8 @@ def neighbors_agg(t: Topology, attributes: DataFrame, id_col: str, agg: Expr, di
     """Fold an attribute of each node's neighbours over its edges; the value is a double.
 
     Neighbours without a row or with a null attribute are skipped. Over nothing, mean, min and max are null, and
-    sum, count and n_unique are 0. Of several rows for a node one counts.
+    sum, count and n_unique are 0. Of several rows for a node the greatest
+    attribute counts.
     """
     inner = agg.payload[0] if isinstance(agg, Expr) and agg.kind == "alias" else agg
     if not isinstance(inner, Expr) or inner.kind != "agg" or inner.payload[1].kind != "col":
@@ -289,7 +286,7 @@ def neighbors_agg(t: Topology, attributes: DataFrame, id_col: str, agg: Expr, di
     if not numeric and fn not in ("count", "n_unique"):
         raise ComputeError(f"{fn} needs a numeric attribute; {name!r} is {attributes.schema[name].dataType.simpleString()}")
     value = col(name).cast("double") if numeric else col(name)
-    known = attributes.select(col(id_col).alias("dst"), value.alias("x")).groupBy("dst").agg(F.last("x").alias("x")).where(F.col("x").isNotNull())
+    known = attributes.select(col(id_col).alias("dst"), value.alias("x")).groupBy("dst").agg(F.max("x").alias("x")).where(F.col("x").isNotNull())
     x = F.col("x")
     if numeric and fn in ("min", "max"):  # NaN is no extreme
         x = F.when(~F.isnan(x), x)

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from weftline.columns import checkpoint
 from weftline.functions.expr import Expr
+from weftline.operators.distributed import numbered
 from weftline.operators.kernels import Csr
 from weftline.operators.tail import DEFAULT_SEED
 from weftline.topology import Topology, encode
@@ -29,11 +31,11 @@ def hop(t: Topology, seeds: DataFrame, n: int, direction: str = "out") -> DataFr
     """``(src, dst)``: each node within ``n`` hops of each seed, once, without the seed itself.
 
     ``seeds`` has one column; a repeated seed repeats its rows, and unknown ones reach nothing. Each
-    step expands the newest nodes only.
+    step expands the newest nodes only: few of them are broadcast to the edges, which then aren't shuffled.
     """
     if n < 0:
         raise ValueError("hop takes 0 hops or more")
-    steps = t.along(direction).where("src != dst").distinct().select(F.col("src").alias("at"), F.col("dst").alias("to"))
+    steps = t.along(direction).select(F.col("src").alias("at"), F.col("dst").alias("to"))
     wanted = seeds.toDF("seed").where(F.col("seed").isNotNull()).groupBy("seed").agg(F.count("*").cast("int").alias("times"))
     front = wanted.select("seed", F.col("seed").alias("at"))
     seen, reached = front, None
@@ -167,10 +169,8 @@ def random_walk(t: Topology, start: DataFrame, steps: int, walks_per_node: int =
     if steps < 0 or walks_per_node < 0:
         raise ValueError("steps and walks_per_node are 0 or more")
     chosen = DEFAULT_SEED if seed is None else seed
-    # Starts are a list that the caller wrote out, so numbering them in one place is bounded by that list.
-    from pyspark.sql.window import Window
-
-    known = start.join(t.vertices, "id", "left_semi").withColumn("k", F.row_number().over(Window.orderBy("at")) - 1)
+    known, _ = numbered(start.join(t.vertices, "id", "left_semi").select(F.col("at").alias("k0"), "id"), "k0")
+    known = known.withColumnRenamed("at", "k")
     walkers = known.select(F.explode(F.sequence(F.lit(1), F.lit(walks_per_node))).alias("r"), "k", "id") if walks_per_node else known.select(F.lit(1).alias("r"), "k", "id").limit(0)
     walkers = walkers.select((F.col("k") * walks_per_node + F.col("r") - 1).cast("long").alias("walk_id"), F.col("id").alias("node"))
     kind = T.LongType() if t.id_type == "bigint" else T.StringType()
@@ -209,8 +209,6 @@ def _joined_walks(t: Topology, walkers: DataFrame, steps: int, seed: int) -> Dat
     A node's positions are numbered in two stages (parts of its edges by hash, then within a part), so the busiest
     node is no single task's work; a walker looks up the block of the position it draws.
     """
-    from pyspark.sql.window import Window
-
     merged = checkpoint(t.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(64))))
     parts = merged.groupBy("src", "part").agg(F.sum("m").alias("size"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

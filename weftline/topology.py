@@ -131,6 +131,12 @@ class TopologyCell:
                 self._made = make()
             return self._made
 
+    def drop(self) -> None:
+        with self._lock:
+            if self._made is not None:
+                self._made.edges.unpersist()
+                self._made = None
+
 
 def encode(src: pa.Array, dst: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Identifiers in ascending order, and both endpoint columns as positions in them."""
