@@ -182,7 +182,7 @@ class GarbledText:
         require(documents, key, text)
         self.key, self.text, self.documents = key, text, documents
         self.spark = documents.sparkSession
-        self.words = self._words()
+        self.words = checkpoint(self._words())
         self.learned = self._learned()
         self.verdicts = self._verdicts()
 
@@ -237,7 +237,7 @@ class GarbledText:
         Of the lines with one skeleton the most frequent stands for all, and each other one is aligned
         with it only.
         """
-        variants = self._lines().groupBy("skeleton", "line").agg(F.count("*").alias("n"))
+        variants = checkpoint(self._lines().groupBy("skeleton", "line").agg(F.count("*").alias("n")))
         rep = F.max(F.struct("n", (-F.length("line")).alias("short"), "line"))
         reps = variants.groupBy("skeleton").agg(rep["line"].alias("clean"), F.count("*").alias("k")).where("k > 1")
         twins = variants.join(reps, "skeleton").where(F.col("line") != F.col("clean")).select("line", "clean")
