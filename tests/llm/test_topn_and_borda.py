@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from weftline.errors import ColumnNotFoundError
+from weftline.llm import borda
 from weftline.llm.borda import borda_points, borda_ranking
 from weftline.llm.topn import top_n_per_group
 
@@ -92,7 +93,10 @@ def brute_points(rows, weights, ties, missing):
 
 @pytest.mark.parametrize("ties", ["average", "min"])
 @pytest.mark.parametrize("missing", ["mid", "last"])
-def test_borda_against_brute_force(spark, ties, missing):
+@pytest.mark.parametrize("large", [100_000, 60, 0])
+def test_borda_against_brute_force(spark, monkeypatch, ties, missing, large):
+    monkeypatch.setattr(borda, "GROUP_ROWS", large)
+    monkeypatch.setattr(borda, "MOST_LARGE", 10**9)
     rng = random.Random(3)
     pool = [None, float("nan"), 0.0, -0.0, 1e-300, 5e-324, -1e-9, 1.0, math.nextafter(1.0, 2), 1e300, float("inf"), float("-inf"), -7.0]
     rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), k, rng.choice([*pool, rng.gauss(0, 1)]), rng.choice([None, 0, 0, 0, 1, 2, rng.randrange(10**9)])) for k in range(300)]
@@ -101,7 +105,10 @@ def test_borda_against_brute_force(spark, ties, missing):
     assert sorted(map(tuple, got.collect()), key=str) == brute_points(rows, [1.0, 0.5], ties, missing)
 
 
-def test_borda_ranking(spark):
+@pytest.mark.parametrize("large", [100_000, 0])
+def test_borda_ranking(spark, monkeypatch, large):
+    monkeypatch.setattr(borda, "GROUP_ROWS", large)
+    monkeypatch.setattr(borda, "MOST_LARGE", 10**9)
     rows = [("g", 1, 1000.0, 1), ("g", 2, 10.0, 2), ("g", 3, 900.0, 3), ("g", 4, 1000.0, 1), ("h", 9, None, None)]
     ranked = borda_ranking(scored(spark, rows), "g", "i", {"a": 1.0, "b": 1.0}, 2)
     assert ranked.columns == ["g", "i", "points", "rank"]

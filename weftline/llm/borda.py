@@ -10,18 +10,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.columns import col, fresh, require
+from weftline.columns import checkpoint, col, require
 from weftline.llm.topn import top_n_per_group
 
 __all__ = ["borda_points", "borda_ranking"]
 
-#: Buckets of a score for each doubling of its size. Places are counted by bucket first.
+#: Buckets of a score for each doubling of its size, by which large groups are counted.
 BUCKETS_A_DOUBLING = 256
 
+#: A group of more rows than this, and than its share of all rows, is large. There are fewer large groups than
+#: ``MOST_LARGE``, however many rows there are.
+GROUP_ROWS = 100_000
+MOST_LARGE = 4096
+
 
 def _number(score: Column) -> Column:
-    """The score as a double; null where it is null or NaN."""
-    x = score.cast("double")
+    """The score as a double, zero without a sign; null where it is null or NaN."""
+    x = score.cast("double") + F.lit(0.0)
     return F.when(~F.isnan(x), x)
 
 
@@ -32,6 +37,27 @@ def _bucket(x: Column) -> Column:
     return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size).cast("long")
 
 
+def _missing_place(known: Column, unknown: Column, ties: str, missing: str) -> Column:
+    if missing == "mid":
+        return (known + unknown + 1) / 2.0
+    return known + 1.0 + (unknown - 1) / 2.0 if ties == "average" else known + 1.0
+
+
+def _small_points(rows: DataFrame, weights: list[float], ties: str, missing: str) -> DataFrame:
+    """Points within groups of bounded size: one shuffle by group serves all scores."""
+    out = rows.repartition("g").distinct()
+    whole, total = Window.partitionBy("g"), F.lit(0.0)
+    for k, weight in enumerate(weights):
+        x = F.col(f"x{k}")
+        down = whole.orderBy(x.desc_nulls_last())
+        first = F.rank().over(down).cast("double")
+        last = F.count("*").over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        known, every = F.count(x).over(whole), F.count("*").over(whole)
+        place = F.when(x.isNull(), _missing_place(known, every - known, ties, missing)).otherwise((first + last) / 2.0 if ties == "average" else first)
+        total = total + F.lit(weight) * place
+    return out.select("g", "i", total.alias("points"))
+
+
 def _places(values: DataFrame, ties: str, missing: str) -> DataFrame:
     """From one row per group and value (null: missing) with its count ``n``: the place of the value.
 
@@ -45,18 +71,44 @@ def _places(values: DataFrame, ties: str, missing: str) -> DataFrame:
     greater = Window.partitionBy("g", "b").orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, -1)
     place = (1 + F.col("higher") + F.coalesce(F.sum("n").over(greater), F.lit(0))).cast("double")
     ranked = there.join(base, ["g", "b"]).select("g", "x", (place + (F.col("n") - 1) / 2 if ties == "average" else place).alias("place"))
-    total = values.groupBy("g").agg(
-        F.sum(F.when(F.col("x").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.when(F.col("x").isNull(), F.col("n")).otherwise(0)).alias("unknown"),
-    )
-    last = F.col("known") + 1.0
-    at = {
-        "mid": (F.col("known") + F.col("unknown") + 1) / 2.0,
-        "last": last + (F.col("unknown") - 1) / 2.0 if ties == "average" else last,
-    }[missing]
+    absent = F.col("x").isNull()
+    total = values.groupBy("g").agg(F.sum(F.when(absent, 0).otherwise(F.col("n"))).alias("known"), F.sum(F.when(absent, F.col("n")).otherwise(0)).alias("unknown"))
+    at = _missing_place(F.col("known"), F.col("unknown"), ties, missing)
     return ranked.unionByName(total.where(F.col("unknown") > 0).select("g", F.lit(None).cast("double").alias("x"), at.alias("place")))
 
 
+def _large_points(rows: DataFrame, weights: list[float], ties: str, missing: str) -> DataFrame:
+    """Points within groups of any size: values are counted, placed by bucket, and joined back."""
+    rows = checkpoint(rows.distinct())
+    out, total = rows, F.lit(0.0)
+    for k, weight in enumerate(weights):
+        values = checkpoint(rows.groupBy("g", F.col(f"x{k}").alias("x")).agg(F.count("*").alias("n")))
+        # Missing values join by a flag and a zero: null-safe equality would not be a hashed join key.
+        lookup = _places(values, ties, missing).select(
+            F.col("g").alias(f"g{k}"), F.coalesce("x", F.lit(0.0)).alias(f"v{k}"), F.col("x").isNull().alias(f"m{k}"), F.col("place").alias(f"place{k}")
+        )
+        x = F.col(f"x{k}")
+        out = out.join(lookup, (F.col("g") == F.col(f"g{k}")) & (F.coalesce(x, F.lit(0.0)) == F.col(f"v{k}")) & (x.isNull() == F.col(f"m{k}")))
+        total = total + F.lit(weight) * F.col(f"place{k}")
+    return out.select("g", "i", total.alias("points"))
+
+
+def _parts(df: DataFrame, group: str, item: str, scores: dict[str, float], ties: str, missing: str) -> tuple[DataFrame, DataFrame | None]:
+    """``(g, i, points)`` of the small groups and, if there are any, of the large ones."""
+    require(df, group, item, *scores)
+    if ties not in ("average", "min") or missing not in ("mid", "last"):
+        raise ValueError("ties is 'average' or 'min', missing is 'mid' or 'last'")
+    rows = df.select(col(group).alias("g"), col(item).alias("i"), *[_number(col(s)).alias(f"x{k}") for k, s in enumerate(scores)])
+    rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull())
+    weights = [float(x) for x in scores.values()]
+    most = max(GROUP_ROWS, rows.count() / MOST_LARGE)
+    large = [r["g"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g").toLocalIterator()]
+    if not large:
+        return _small_points(rows, weights, ties, missing), None
+    is_large = F.col("g").isin(large)
+    return _small_points(rows.where(~is_large), weights, ties, missing), _large_points(rows.where(is_large), weights, ties, missing)
+
+
 def borda_points(
     df: DataFrame,
     group: str,
@@ -65,7 +117,6 @@ def borda_points(
     *,
     ties: str = "average",
     missing: str = "mid",
-    points: str = "points",
 ) -> DataFrame:
     """``(group, item, points)``: the weighted sum of the item's places by each score; least is best.
 
@@ -75,35 +126,25 @@ def borda_points(
     infinity as a number. Rows that agree in group, item and scores count once; further columns are
     ignored. A null group or item takes no part, and an empty input gives an empty result.
 
-    No group is gathered into one task: values are counted first, then placed bucket by bucket; the
+    Groups up to ``GROUP_ROWS`` rows, or a ``MOST_LARGE``-th of all rows, are ranked as they are, by one shuffle. No
+    larger one is gathered into one task: its values are counted first, then placed bucket by bucket; the
     places are joined back, where Spark splits the partitions of very frequent values.
     """
-    require(df, group, item, *scores)
-    if ties not in ("average", "min") or missing not in ("mid", "last"):
-        raise ValueError("ties is 'average' or 'min', missing is 'mid' or 'last'")
-    rows = df.select(col(group).alias("g"), col(item).alias("i"), *[_number(col(s)).alias(f"x{k}") for k, s in enumerate(scores)])
-    rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull()).distinct()
-    total = F.lit(0.0)
-    out = rows
-    for k, weight in enumerate(scores.values()):
-        values = rows.groupBy("g", F.col(f"x{k}").alias("x")).agg(F.count("*").alias("n"))
-        # Missing values join by a flag and a zero: null-safe equality would not be a hashed join key.
-        lookup = _places(values, ties, missing).select(
-            F.col("g").alias(f"g{k}"), F.coalesce("x", F.lit(0.0)).alias(f"v{k}"), F.col("x").isNull().alias(f"m{k}"), F.col("place").alias(f"place{k}")
-        )
-        x = F.col(f"x{k}")
-        out = out.join(lookup, (F.col("g") == F.col(f"g{k}")) & (F.coalesce(x, F.lit(0.0)) == F.col(f"v{k}")) & (x.isNull() == F.col(f"m{k}")))
-        total = total + F.lit(float(weight)) * F.col(f"place{k}")
-    return out.select(F.col("g").alias(group), F.col("i").alias(item), total.alias(points))
+    small, large = _parts(df, group, item, scores, ties, missing)
+    both = small if large is None else small.unionByName(large)
+    return both.select(F.col("g").alias(group), F.col("i").alias(item), "points")
 
 
-def borda_ranking(df: DataFrame, group: str, item: str, scores: dict[str, float], n: int, **how) -> DataFrame:
-    """The first ``n`` items of each group by :func:`borda_points`, with ``rank`` from 1.
+def borda_ranking(df: DataFrame, group: str, item: str, scores: dict[str, float], n: int, *, ties: str = "average", missing: str = "mid") -> DataFrame:
+    """``(group, item, points, rank)``: the first ``n`` items of each group by :func:`borda_points`.
 
     Equal sums put the smaller item first. An item with several different rows in a group takes its
     best sum.
     """
-    (points,) = fresh([group, item], "points")
-    summed = borda_points(df, group, item, scores, points=points, **how).groupBy(col(group), col(item)).agg(F.min(col(points)).alias(points))
-    ranked = top_n_per_group(summed, group, [(points, "asc"), (item, "asc")], n, rank="rank")
-    return ranked.withColumnRenamed(points, "points")
+    small, large = _parts(df, group, item, scores, ties, missing)
+    best = lambda points: points.groupBy("g", "i").agg(F.min("points").alias("points"))
+    order = Window.partitionBy("g").orderBy("points", "i")
+    ranked = best(small).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    if large is not None:
+        ranked = ranked.unionByName(top_n_per_group(best(large), "g", [("points", "asc"), ("i", "asc")], n, rank="rank"))
+    return ranked.select(F.col("g").alias(group), F.col("i").alias(item), "points", "rank")
