@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from weftline.operators import dense_counts
+from weftline.operators import orphans as module
 from weftline.operators.dense_counts import busy_keys, dense_totals
 from weftline.operators.orphans import key_filter, orphan_references, orphan_report
 from weftline.operators.strict_load import rejected_records, strict_load
@@ -53,7 +54,10 @@ def brute_orphans(nodes, edges):
     return sorted(out, key=str)
 
 
-def test_orphans_against_brute_force(spark):
+@pytest.mark.parametrize("busy", [100_000, 20, 0])
+def test_orphans_against_brute_force(spark, monkeypatch, busy):
+    monkeypatch.setattr(module, "KEY_ROWS", busy)
+    monkeypatch.setattr(module, "MOST_BUSY", 10**9)
     rng = random.Random(4)
     nodes = []
     for k in range(60):
@@ -68,7 +72,10 @@ def test_orphans_against_brute_force(spark):
     assert [tuple(r) for r in orphans(spark, nodes, edges)] == brute_orphans(nodes, edges)
 
 
-def test_orphans_at_the_edges_of_lives(spark):
+@pytest.mark.parametrize("busy", [100_000, 0])
+def test_orphans_at_the_edges_of_lives(spark, monkeypatch, busy):
+    monkeypatch.setattr(module, "KEY_ROWS", busy)
+    monkeypatch.setattr(module, "MOST_BUSY", 10**9)
     nodes = [(1, at(10), at(20), at(0)), (1, at(20), None, at(0)), (2, at(5), None, at(1)), (2, at(5), at(6), at(2)), (None, at(0), None, at(0)), (3, None, None, at(0)), (4, at(9), at(9), at(0))]
     edges = [(1, 1, 2, at(10)), (2, 1, 2, at(5)), (3, 1, 2, at(19)), (4, 1, 3, at(20)), (5, 4, 4, at(9)), (6, 1, None, None), (6, 1, None, None)]
     assert [(r["edge_id"], r["endpoint"], r["cause"]) for r in orphans(spark, nodes, edges)] == [

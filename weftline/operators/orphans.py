@@ -23,6 +23,11 @@ FILTER_HASHES = 4
 FILTER_MIN_BITS = 1 << 16
 FILTER_MAX_BITS = 1 << 27
 
+#: A key with more rows than this, and than its share of all rows, is busy. There are fewer busy keys than
+#: ``MOST_BUSY``, however many rows there are.
+KEY_ROWS = 100_000
+MOST_BUSY = 4096
+
 
 def _positions(key, bits: int):
     return [F.xxhash64(key, F.lit(i)).bitwiseAND(F.lit(bits - 1)) for i in range(FILTER_HASHES)]
@@ -96,8 +101,9 @@ def orphan_references(
     moment (the latter still make the key known). Other columns, whatever their names, are ignored;
     empty tables give an empty result, or all references as ``missing``.
 
-    A busy key is no single task's work: its references are split by day, and lives before the day
-    enter as one number. A day of one key is the smallest unit.
+    References are verified key by key, with lives and references swept in order of time: one shuffle. A busy
+    key is no single task's work: its references are split by day, and lives before the day enter as one
+    number. A day of one key is the smallest unit.
     """
     require(records, record_id, seen_at, *references)
     require(parents, key, begins_at, ends_at, version)
@@ -108,23 +114,64 @@ def orphan_references(
     )
     words = key_filter(lives.select("key").distinct(), "key")
 
-    once = records.select(col(record_id).alias("record_id"), col(seen_at).alias("t"), *[col(r).alias(f"r{i}") for i, r in enumerate(references)]).distinct()
-    refs = once.select("record_id", "t", F.explode(F.array(*[F.struct(F.lit(r).alias("endpoint"), F.col(f"r{i}").alias("key")) for i, r in enumerate(references)])).alias("x"))
-    refs = refs.select("record_id", "t", "x.endpoint", "x.key").where(F.col("key").isNotNull())
+    at = F.posexplode(F.array(*[col(r) for r in references])).alias("endpoint", "key")
+    refs = records.select(col(record_id).alias("record_id"), col(seen_at).alias("t"), at).where(F.col("key").isNotNull())
     tagged = _tagged(refs, words)
-    result = [F.col("record_id").alias(record_id), "endpoint", F.col("t").alias(seen_at), "cause"]
-    proven = tagged.where(~F.col("maybe")).withColumn("cause", F.lit("missing")).select(*result)
+    proven = tagged.where(~F.col("maybe")).select("record_id", "endpoint", "key", "t").distinct().withColumn("cause", F.lit("missing"))
 
-    # What passes the filter is verified exactly: for each key and day, lives begun and ended before it
-    # come as one row, and those of the day are swept in order of time along with the references.
+    # What passes the filter is verified exactly, against the moments at which lives begin and end.
     none = {f.name: F.lit(None).cast(f.dataType) for f in refs.schema.fields if f.name in ("record_id", "endpoint")}
-    begun = lives.select("key", "t", F.lit(1).alias("born"), F.when(F.col("e") <= F.col("t"), 0).otherwise(1).alias("alive"))
-    ended = lives.where(F.col("e") > F.col("t")).select("key", F.col("e").alias("t"), F.lit(0).alias("born"), F.lit(-1).alias("alive"))
-    changes = begun.unionByName(ended).select("key", "t", "born", "alive", F.lit(False).alias("is_ref"), *[c.alias(n) for n, c in none.items()])
-    asked = tagged.where("maybe").select("key", "t", F.lit(0).alias("born"), F.lit(0).alias("alive"), F.lit(True).alias("is_ref"), *none)
+    begun = lives.select("key", "t", F.when(F.col("e") <= F.col("t"), _FLEETING).otherwise(_BEGIN).alias("kind"))
+    ended = lives.where(F.col("e") > F.col("t")).select("key", F.col("e").alias("t"), F.lit(_END).alias("kind"))
+    moments = begun.unionByName(ended).select("key", "t", "kind", *[c.alias(n) for n, c in none.items()])
+    asked = tagged.where("maybe").select("key", "t", F.lit(_REFERENCE).alias("kind"), "record_id", "endpoint")
+    rows = moments.unionByName(asked)
+    busy = _busy_keys(refs, parents.select(col(key).alias("key")))
+    verified = _by_key(rows.where(~F.col("key").isin(busy)) if busy else rows)
+    if busy:
+        verified = verified.unionByName(_by_day(rows.where(F.col("key").isin(busy)).distinct()))
+    cause = F.when(F.col("lives") == 0, "missing").when(F.col("born") == 0, "late").otherwise("deleted")
+    dangling = verified.where((F.col("kind") == _REFERENCE) & (F.col("alive") <= 0)).withColumn("cause", cause)
+    names = F.array(*[F.lit(r) for r in references])
+    both = proven.select("record_id", "endpoint", "t", "cause").unionByName(dangling.select("record_id", "endpoint", "t", "cause"))
+    return both.select(F.col("record_id").alias(record_id), names[F.col("endpoint")].alias("endpoint"), F.col("t").alias(seen_at), "cause")
+
+
+#: Kinds of rows in the sweep, in the order that holds among those of one moment. A fleeting life begins only.
+_BEGIN, _END, _FLEETING, _REFERENCE = 0, 1, 2, 3
+
+
+def _born():
+    return F.when(F.col("kind").isin(_BEGIN, _FLEETING), 1).otherwise(0)
+
+
+def _alive():
+    return F.when(F.col("kind") == _BEGIN, 1).when(F.col("kind") == _END, -1).otherwise(0)
+
+
+def _busy_keys(refs: DataFrame, parents: DataFrame) -> list:
+    """The few keys with very many rows, before any are merged."""
+    counts = refs.select("key").unionByName(parents).groupBy("key").agg(F.count("*").alias("n"))
+    most = max(KEY_ROWS, (refs.count() + parents.count()) / MOST_BUSY)
+    return [r["key"] for r in counts.where((F.col("n") > most) & F.col("key").isNotNull()).select("key").toLocalIterator()]
+
+
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Repeated references are merged and all swept where the key's rows already are."""
+    once = rows.repartition("key").distinct()
+    every = Window.partitionBy("key")
+    sweep = every.orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return once.select(
+        "record_id", "endpoint", "t", "kind",
+        F.sum(_born()).over(every).alias("lives"), F.sum(_born()).over(sweep).alias("born"), F.sum(_alive()).over(sweep).alias("alive"),
+    )
+
+
+def _by_day(rows: DataFrame) -> DataFrame:
+    """As :func:`_by_key`, for keys of any number of rows."""
     day = F.coalesce(F.to_date("t"), F.lit("0001-01-01").cast("date"))
-    rows = changes.unionByName(asked).withColumn("day", day)
-    per_day = rows.groupBy("key", "day").agg(F.sum("born").alias("born"), F.sum("alive").alias("alive"))
+    rows = rows.withColumn("day", day).repartition("key", "day")
+    per_day = rows.groupBy("key", "day").agg(F.sum(_born()).alias("born"), F.sum(_alive()).alias("alive"))
     by_key = Window.partitionBy("key")
     before = by_key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     base = per_day.select(
@@ -133,15 +180,12 @@ def orphan_references(
         F.coalesce(F.sum("alive").over(before), F.lit(0)).alias("alive0"),
         F.sum("born").over(by_key).alias("lives"),
     )
-    sweep = Window.partitionBy("key", "day").orderBy(F.col("t").asc_nulls_first(), "is_ref").rowsBetween(Window.unboundedPreceding, 0)
-    swept = rows.join(base, ["key", "day"]).select(
-        "record_id", "endpoint", "t", "is_ref", "lives",
-        (F.col("born0") + F.sum("born").over(sweep)).alias("born"),
-        (F.col("alive0") + F.sum("alive").over(sweep)).alias("alive"),
+    sweep = Window.partitionBy("key", "day").orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(base, ["key", "day"]).select(
+        "record_id", "endpoint", "t", "kind", "lives",
+        (F.col("born0") + F.sum(_born()).over(sweep)).alias("born"),
+        (F.col("alive0") + F.sum(_alive()).over(sweep)).alias("alive"),
     )
-    cause = F.when(F.col("lives") == 0, "missing").when(F.col("born") == 0, "late").otherwise("deleted")
-    verified = swept.where(F.col("is_ref") & (F.col("alive") <= 0)).withColumn("cause", cause).select(*result)
-    return proven.unionByName(verified)
 
 
 def orphan_report(orphans: DataFrame, *, table: str, seen_at: str) -> DataFrame:
