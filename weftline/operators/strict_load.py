@@ -31,12 +31,17 @@ def _body(raw: Column) -> Column:
     return F.regexp_replace(F.coalesce(raw, F.lit("")), _LINE_END, "")
 
 
+def _three(body: Column) -> Column:
+    """Whether the record has three good fields. Without quotes, counting commas tells."""
+    return F.when(F.contains(body, F.lit('"')), body.rlike(_THREE)).otherwise(F.size(F.split(body, ",", -1)) == 3)
+
+
 def _field(body: Column, i: int) -> Column:
     """The trimmed content of field ``i`` of a record of three good fields."""
     text = F.regexp_extract(body, _THREE, i)
-    quoted = text.startswith('"')
     inner = F.replace(text.substr(F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))
-    return F.btrim(F.when(quoted, inner).otherwise(text), F.lit(_BLANK))
+    quoted = F.when(text.startswith('"'), inner).otherwise(text)
+    return F.btrim(F.when(F.contains(body, F.lit('"')), quoted).otherwise(F.split(body, ",", -1)[i - 1]), F.lit(_BLANK))
 
 
 def _weight(text: Column) -> Column:
@@ -59,7 +64,7 @@ def strict_load(raw: DataFrame, *, offset: str, line: str) -> DataFrame:
     """
     require(raw, offset, line)
     (body,) = fresh(raw.columns, "body")
-    three = _parsed(raw.select(offset, line), line, body).where(col(body).rlike(_THREE))
+    three = _parsed(raw.select(offset, line), line, body).where(_three(col(body)))
     named = three.select(col(offset), *[_field(col(body), i + 1).alias(n) for i, n in enumerate(("__src", "__dst", "__weight"))])
     good = named.withColumn("__weight", _weight(F.col("__weight")))
     good = good.where((F.col("__src") != "") & (F.col("__dst") != "") & (F.col("__weight") <= INT_MAX))
@@ -79,5 +84,6 @@ def rejected_records(raw: DataFrame, *, offset: str, line: str, loaded: DataFram
     (body,) = fresh(raw.columns, "body")
     good = strict_load(raw, offset=offset, line=line) if loaded is None else loaded
     rest = raw.select(offset, line).join(good.select(offset), offset, "left_anti")
-    reason = F.when(~col(body).rlike(_RECORD), "quoting").when(~col(body).rlike(_THREE), "columns").otherwise("value")
+    broken = F.contains(col(body), F.lit('"')) & ~col(body).rlike(_RECORD)
+    reason = F.when(broken, "quoting").when(~_three(col(body)), "columns").otherwise("value")
     return _parsed(rest, line, body).select(col(offset), col(line), reason.alias("reason"))
