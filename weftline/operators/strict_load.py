@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.columns import col, fresh, require
+from weftline.columns import col, require
 
 __all__ = ["strict_load", "rejected_records", "INT_MAX"]
 
@@ -22,26 +22,30 @@ _QUOTED = '"[^"]*+(?:""[^"]*+)*+"'
 _FIELD = f'(?:{_QUOTED}|[^",]*+)'
 _RECORD = rf"(?s)\A{_FIELD}(?:,{_FIELD})*+\z"
 _THREE = rf"(?s)\A({_FIELD}),({_FIELD}),({_FIELD})\z"
-_LINE_END = r"(?:\r\n|\n|\r)\z"
 _BLANK = " \t"
 
 
 def _body(raw: Column) -> Column:
     """The record without its line end; null is the record of no characters."""
-    return F.regexp_replace(F.coalesce(raw, F.lit("")), _LINE_END, "")
+    text = F.coalesce(raw, F.lit(""))
+    shorter = lambda n: text.substr(F.lit(1), F.length(text) - n)
+    return F.when(text.endswith("\r\n"), shorter(2)).when(text.endswith("\n") | text.endswith("\r"), shorter(1)).otherwise(text)
 
 
-def _three(body: Column) -> Column:
-    """Whether the record has three good fields. Without quotes, counting commas tells."""
-    return F.when(F.contains(body, F.lit('"')), body.rlike(_THREE)).otherwise(F.size(F.split(body, ",", -1)) == 3)
+def _quotes(body: Column) -> Column:
+    return F.contains(body, F.lit('"'))
 
 
-def _field(body: Column, i: int) -> Column:
-    """The trimmed content of field ``i`` of a record of three good fields."""
-    text = F.regexp_extract(body, _THREE, i)
-    inner = F.replace(text.substr(F.lit(2), F.length(text) - 2), F.lit('""'), F.lit('"'))
-    quoted = F.when(text.startswith('"'), inner).otherwise(text)
-    return F.btrim(F.when(F.contains(body, F.lit('"')), quoted).otherwise(F.split(body, ",", -1)[i - 1]), F.lit(_BLANK))
+def _fields(body: Column) -> Column:
+    """The three fields as they stand, or null. Without quotes, commas alone tell fields apart."""
+    extracted = F.array(*[F.regexp_extract(body, _THREE, i) for i in (1, 2, 3)])
+    return F.when(_quotes(body), F.when(body.rlike(_THREE), extracted)).otherwise(F.split(body, ",", -1))
+
+
+def _content(field: Column) -> Column:
+    """What a field holds, without blanks at its ends."""
+    inner = F.replace(field.substr(F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+    return F.btrim(F.when(field.startswith('"'), inner).otherwise(field), F.lit(_BLANK))
 
 
 def _weight(text: Column) -> Column:
@@ -50,10 +54,6 @@ def _weight(text: Column) -> Column:
     return F.when(digits.rlike(r"\A[0-9]{1,10}\z"), F.try_to_number(digits, F.lit("9999999999")).cast("long")).cast("long")
 
 
-def _parsed(raw: DataFrame, line: str, body: str) -> DataFrame:
-    return raw.withColumn(body, _body(col(line)))
-
-
 def strict_load(raw: DataFrame, *, offset: str, line: str) -> DataFrame:
     """``(offset, src, dst, weight)`` of the records that conform in every point.
 
@@ -63,12 +63,11 @@ def strict_load(raw: DataFrame, *, offset: str, line: str) -> DataFrame:
     empty table; further columns are ignored.
     """
     require(raw, offset, line)
-    (body,) = fresh(raw.columns, "body")
-    three = _parsed(raw.select(offset, line), line, body).where(_three(col(body)))
-    named = three.select(col(offset), *[_field(col(body), i + 1).alias(n) for i, n in enumerate(("__src", "__dst", "__weight"))])
-    good = named.withColumn("__weight", _weight(F.col("__weight")))
-    good = good.where((F.col("__src") != "") & (F.col("__dst") != "") & (F.col("__weight") <= INT_MAX))
-    return good.select(col(offset), F.col("__src").alias("src"), F.col("__dst").alias("dst"), F.col("__weight").cast("int").alias("weight"))
+    # The one-row explode keeps the fields from being computed again wherever they are used.
+    three = raw.select(col(offset).alias("offset"), F.explode(F.array(_fields(_body(col(line))))).alias("f")).where(F.size("f") == 3)
+    named = three.select("offset", *[_content(F.col("f")[i]).alias(n) for i, n in enumerate(("src", "dst", "digits"))])
+    good = named.where((F.col("src") != "") & (F.col("dst") != "")).select("offset", "src", "dst", _weight(F.col("digits")).alias("weight"))
+    return good.where(F.col("weight") <= INT_MAX).select(F.col("offset").alias(offset), "src", "dst", F.col("weight").cast("int").alias("weight"))
 
 
 def rejected_records(raw: DataFrame, *, offset: str, line: str, loaded: DataFrame | None = None) -> DataFrame:
@@ -81,9 +80,10 @@ def rejected_records(raw: DataFrame, *, offset: str, line: str, loaded: DataFram
     record is one of no characters, hence ``columns``. ``offset`` must be unique and not null.
     """
     require(raw, offset, line)
-    (body,) = fresh(raw.columns, "body")
     good = strict_load(raw, offset=offset, line=line) if loaded is None else loaded
-    rest = raw.select(offset, line).join(good.select(offset), offset, "left_anti")
-    broken = F.contains(col(body), F.lit('"')) & ~col(body).rlike(_RECORD)
-    reason = F.when(broken, "quoting").when(~_three(col(body)), "columns").otherwise("value")
-    return _parsed(rest, line, body).select(col(offset), col(line), reason.alias("reason"))
+    rest = raw.select(col(offset).alias("offset"), col(line).alias("line")).join(good.select(col(offset).alias("offset")), "offset", "left_anti")
+    judged = rest.select("offset", "line", F.explode(F.array(_body(F.col("line")))).alias("body"))
+    body = F.col("body")
+    broken = _quotes(body) & ~body.rlike(_RECORD)
+    reason = F.when(broken, "quoting").when(F.coalesce(F.size(_fields(body)), F.lit(0)) != 3, "columns").otherwise("value")
+    return judged.select(F.col("offset").alias(offset), F.col("line").alias(line), reason.alias("reason"))
