@@ -126,7 +126,8 @@ def orphan_references(
     moments = begun.unionByName(ended).select("key", "t", "kind", *[c.alias(n) for n, c in none.items()])
     asked = tagged.where("maybe").select("key", "t", F.lit(_REFERENCE).alias("kind"), "record_id", "endpoint")
     rows = moments.unionByName(asked)
-    busy = _busy_keys(refs, parents.select(col(key).alias("key")))
+    most = max(KEY_ROWS, (records.count() * len(references) + parents.count()) / MOST_BUSY)
+    busy = _busy_keys(refs, parents.select(col(key).alias("key")), most)
     verified = _by_key(rows.where(~F.col("key").isin(busy)) if busy else rows)
     if busy:
         verified = verified.unionByName(_by_day(rows.where(F.col("key").isin(busy)).distinct()))
@@ -149,10 +150,9 @@ def _alive():
     return F.when(F.col("kind") == _BEGIN, 1).when(F.col("kind") == _END, -1).otherwise(0)
 
 
-def _busy_keys(refs: DataFrame, parents: DataFrame) -> list:
-    """The few keys with very many rows, before any are merged."""
+def _busy_keys(refs: DataFrame, parents: DataFrame, most: float) -> list:
+    """The few keys with more rows than ``most``, before any are merged."""
     counts = refs.select("key").unionByName(parents).groupBy("key").agg(F.count("*").alias("n"))
-    most = max(KEY_ROWS, (refs.count() + parents.count()) / MOST_BUSY)
     return [r["key"] for r in counts.where((F.col("n") > most) & F.col("key").isNotNull()).select("key").toLocalIterator()]
 
 
