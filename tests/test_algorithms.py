@@ -182,6 +182,17 @@ def test_line_and_split(spark):
     assert values(w.betweenness(split, weight=w.col("weight"))) == {0: 0, 1: 1, 2: 0, 3: 0}
 
 
+def test_triangle_lookups_agree():
+    import numpy as np
+
+    from weftline.operators import kernels as K
+
+    keys = np.unique(np.random.default_rng(1).integers(0, 5000, 300))
+    asked = np.arange(5000)
+    want = np.isin(asked, keys)
+    assert (K._lookup(keys, 5000)(asked) == want).all() and (K._lookup(keys, 1 << 31)(asked) == want).all()
+
+
 def test_communities(spark):
     e = w.from_edgelist(CLIQUES)
     for found in (values(w.label_propagation(e, seed=7)), values(w.louvain(e, seed=1))):

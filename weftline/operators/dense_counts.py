@@ -7,6 +7,8 @@ reduction. Work per split depends on its rows only, never on how many of them sh
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -96,7 +98,8 @@ def dense_totals(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
 def busy_keys(totals: DataFrame, share: float) -> DataFrame:
     """The rows of :func:`dense_totals` whose key fills at least ``share`` of its column's non-null rows.
 
-    What is joined back is one row a key column, so it is broadcast.
+    The comparison is exact decimal arithmetic. What is joined back is one row a key column, so it is
+    broadcast.
     """
     per_column = totals.groupBy("endpoint").agg(F.sum("n_rows").alias("n_column"))
-    return totals.join(F.broadcast(per_column), "endpoint").where(F.col("n_rows") >= F.lit(share) * F.col("n_column"))
+    return totals.join(F.broadcast(per_column), "endpoint").where(F.col("n_rows").cast("decimal(20,0)") >= F.lit(Decimal(str(share))) * F.col("n_column").cast("decimal(20,0)"))

@@ -111,6 +111,15 @@ def strong_roots(graph: Csr) -> np.ndarray:
     return np.array(root, np.int64)
 
 
+def _lookup(keys: np.ndarray, span: int):
+    """Whether numbers below ``span`` are among the sorted ``keys``: by one bit each while that is at most 128 MB."""
+    if span > 1 << 30:
+        return lambda x: keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+    bits = np.zeros((span >> 3) + 1, np.uint8)
+    np.bitwise_or.at(bits, keys >> 3, (1 << (keys & 7)).astype(np.uint8))
+    return lambda x: (bits[x >> 3] >> (x & 7).astype(np.uint8)) & 1 == 1
+
+
 def triangles(n: int, a: np.ndarray, b: np.ndarray, chunk: int = 2_000_000) -> np.ndarray:
     """Triangles at each node of a simple undirected graph given once by edge.
 
@@ -121,6 +130,7 @@ def triangles(n: int, a: np.ndarray, b: np.ndarray, chunk: int = 2_000_000) -> n
     low, high = np.where(swap, b, a), np.where(swap, a, b)
     g = Csr(n, low, high)
     sides = g.src * n + g.dst
+    closed = _lookup(sides, n * n)
     wedges = (g.start[1:] - g.start[:-1])[g.dst]
     count = np.zeros(n, np.int64)
     cuts = np.searchsorted(np.cumsum(wedges), np.arange(chunk, wedges.sum() + chunk, chunk), side="left") + 1
@@ -129,8 +139,7 @@ def triangles(n: int, a: np.ndarray, b: np.ndarray, chunk: int = 2_000_000) -> n
         third = g.dst[g.out_slots(g.dst[at:end])]
         first = np.repeat(g.src[at:end], wedges[at:end])
         second = np.repeat(g.dst[at:end], wedges[at:end])
-        key = first * n + third
-        found = sides[np.minimum(np.searchsorted(sides, key), len(sides) - 1)] == key
+        found = closed(first * n + third)
         for corner in (first, second, third):
             count += np.bincount(corner[found], minlength=n)
         at = end
