@@ -237,6 +237,14 @@ def test_topology_is_shared(spark):
     assert "Physical Plan" in filtered.explain(physical=True)
 
 
+def test_graphs_of_fewer_rows_are_their_own(spark):
+    edges = w.from_edgelist([(0, 1), (1, 2), (2, 3)])
+    first = edges.sort("src").head(1)
+    assert sorted(ids(w.degree(first))) == [0, 1] and sorted(ids(w.degree(edges))) == [0, 1, 2, 3]
+    assert sorted(ids(w.degree(edges.sort("src", descending=True).head(1)))) == [2, 3]
+    assert first.to_spark() is first.to_spark() and first.head(1).to_spark() is not first.to_spark()
+
+
 def test_roles(spark):
     e = w.EdgeFrame([{"u": 1, "v": 2, "x": 5}], src="u", dst="v")
     assert (e.src_col, e.dst_col, e.nodes().id_col) == ("u", "v", "id")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import urllib.parse
 import uuid
 import warnings
 
@@ -129,23 +128,21 @@ def nodes_union(spark, sf):
     return G.tree(spark, sf).nodes().to_spark()
 
 
-def _scratch(spark, name):
-    folder = os.path.join(urllib.parse.urlsplit(shared_folder(spark)).path, "sinks")
-    os.makedirs(folder, exist_ok=True)
-    return os.path.join(folder, f"{uuid.uuid4().hex}-{name}")
+def _sink(spark, name):
+    return f"{shared_folder(spark)}/sinks/{uuid.uuid4().hex}-{name}"
 
 
 @query("select s_suppkey, s_name, s_nationkey, s_acctbal from supplier where s_acctbal > 1000")
 def sink_roundtrip(spark, sf):
-    path = _scratch(spark, "supplier.parquet")
-    w.scan_nodes(f"{sf}/supplier.parquet", id="s_suppkey").filter(w.col("s_acctbal") > 1000).sink_parquet(path)
+    path = _sink(spark, "supplier.parquet")
+    w.scan_nodes(f"{sf}/supplier.parquet", id="s_suppkey").filter(w.col("s_acctbal") > 1000).sink_parquet(path, distributed=True)
     return w.scan_nodes(path, id="s_suppkey").to_spark()
 
 
 @query("select n_nationkey::bigint as n_nationkey, n_name from nation")
 def sink_csv_roundtrip(spark, sf):
-    path = _scratch(spark, "nation.csv")
-    w.scan_nodes(f"{sf}/nation.parquet", id="n_nationkey").select("n_nationkey", "n_name").sink_csv(path)
+    path = _sink(spark, "nation.csv")
+    w.scan_nodes(f"{sf}/nation.parquet", id="n_nationkey").select("n_nationkey", "n_name").sink_csv(path, distributed=True)
     return w.scan_nodes(path, id="n_nationkey").to_spark()
 
 

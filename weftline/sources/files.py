@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import tempfile
 import urllib.parse
 import urllib.request
 from dataclasses import dataclass, field
@@ -106,18 +108,21 @@ class Scan:
 
 
 def _fetched(url: str) -> str:
-    """One file over HTTP, brought to a folder that all tasks of this session can read."""
-    folder = os.path.join(urllib.parse.urlsplit(shared_folder(session())).path, "http")
-    os.makedirs(folder, exist_ok=True)
-    local = os.path.join(folder, f"{abs(hash(url)):x}-" + os.path.basename(urllib.parse.urlsplit(url).path))
-    try:
-        with urllib.request.urlopen(url, timeout=60) as response, open(local + ".part", "wb") as out:
-            while block := response.read(1 << 20):
-                out.write(block)
-    except OSError as e:
-        raise ComputeError(f"could not read {url}: {e}") from e
-    os.replace(local + ".part", local)
-    return local
+    """One file over HTTP, brought by the driver to the session's shared folder, which all tasks can read."""
+    spark = session()
+    name = hashlib.sha256(url.encode()).hexdigest()[:16] + "-" + os.path.basename(urllib.parse.urlsplit(url).path)
+    with tempfile.TemporaryDirectory(prefix="weftline-http-") as folder:
+        local = os.path.join(folder, name)
+        try:
+            with urllib.request.urlopen(url, timeout=60) as response, open(local, "wb") as out:
+                while block := response.read(1 << 20):
+                    out.write(block)
+        except OSError as e:
+            raise ComputeError(f"could not read {url}: {e}") from e
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        target = path(shared_folder(spark) + "/http/" + name)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(path(local), target)
+    return target.toString()
 
 
 def _scan(path: Any, storage_options: dict[str, str] | None, store: Any, format_opts: dict[str, Any]) -> Scan:
