@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
+from weftline.llm import containment
 from weftline.llm.containment import leaked_items
 
 DOCUMENTS = pa.schema([("id", pa.int64()), ("text", pa.string()), ("key", pa.string()), ("passage", pa.string())])
@@ -62,6 +63,19 @@ def test_edges_of_texts_do_not_join(spark):
     assert search(spark, documents, [("i", " ".join(words))]) == [(3, "i"), (4, "i"), (5, "i")]
 
 
+def test_pieces_overlap(monkeypatch):
+    monkeypatch.setattr(containment, "PIECE_CHARACTERS", 200)
+    words = [f"w{k}" for k in range(1000)]
+    text = "  ".join(words)
+    pieces = [p.split() for p in containment._pieces(text, 11)]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["short", None, text])], names=["key", "text"])
+    loads = list(containment._loads(batch, 11))
+    assert [r for rows, _ in loads for r in rows] == [0, 1] + [2] * len(pieces) and len(loads) > 5
+    assert len(pieces) > 10
+    runs = {tuple(p[k : k + 12]) for p in pieces for k in range(len(p) - 11)}
+    assert runs == {tuple(words[k : k + 12]) for k in range(989)}
+
+
 def test_empty_tables_and_parameters(spark):
     assert search(spark, [], [("i", "a b c")]) == [] == search(spark, [(1, "a b c")], [])
     assert search(spark, [(1, "z a b c")], [("i", "A-B-C d")], passage_words=3, shingle_words=2) == [(1, "i")]

@@ -12,6 +12,7 @@ their words.
 from __future__ import annotations
 
 import re
+from collections import deque
 from math import ceil
 
 import numpy as np
@@ -31,6 +32,9 @@ SHINGLE_WORDS = 5
 #: Minima of items that are broadcast at a time (32 MiB). More items are searched in blocks.
 BLOCK_MINIMA = 1 << 22
 
+#: Characters that are worked on together. A longer text is cut between words, with the words before each cut again.
+PIECE_CHARACTERS = 4_000_000
+
 _WORD = re.compile(r"[^\W_]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,11 +44,37 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def _pieces(text: str, overlap: int):
+    """The text, in pieces that share ``overlap`` words if it is very long."""
+    begin, before = 0, deque(maxlen=overlap)
+    if len(text) > PIECE_CHARACTERS:
+        for m in _WORD.finditer(text):
+            if m.start() - begin >= PIECE_CHARACTERS:
+                yield text[begin : m.start()]
+                begin = before[0] if before else m.start()
+            before.append(m.start())
+    yield text[begin:]
+
+
+def _loads(batch: pa.RecordBatch, overlap: int):
+    """Lists of texts, with the rows that they are of, of bounded size."""
+    rows, texts, size = [], [], 0
+    for row, text in enumerate(batch.column(1)):
+        for piece in _pieces(text.as_py() or "", overlap):
+            rows.append(row), texts.append(piece)
+            size += len(piece)
+            if size >= PIECE_CHARACTERS:
+                yield rows, texts
+                rows, texts, size = [], [], 0
+    if rows:
+        yield rows, texts
+
+
 class _Passages:
     """The words of a batch of texts, one after the other, and the minimum of every passage."""
 
-    def __init__(self, texts: list[str | None], length: int, shingle: int):
-        found = [_WORD.findall(t) if t else [] for t in texts]
+    def __init__(self, texts: list[str], length: int, shingle: int):
+        found = [_WORD.findall(t) for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         self.doc = np.repeat(np.arange(len(found)), counts)
         coded = pa.array([w for words in found for w in words], pa.string()).dictionary_encode()
@@ -80,9 +110,8 @@ def _rows(df: DataFrame, key: str, text: str, length: int, shingle: int, wanted=
 
     def find(batches):
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                part = b.slice(start, 500)
-                p = _Passages(part.column(1).to_pylist(), length, shingle)
+            for rows, texts in _loads(b, length - 1):
+                p = _Passages(texts, length, shingle)
                 at, minima = p.at, p.minima
                 if wanted is not None and len(at):
                     known = wanted.value
@@ -91,11 +120,10 @@ def _rows(df: DataFrame, key: str, text: str, length: int, shingle: int, wanted=
                     at, minima = at[hit], minima[hit]
                 seen = {}
                 for a, m in zip(at.tolist(), minima.view(np.int64).tolist()):
-                    seen.setdefault((int(p.doc[a]), p.text(a, length)), m)
+                    seen.setdefault((rows[p.doc[a]], p.text(a, length)), m)
                 if seen:
-                    docs = pa.array([d for d, _ in seen], pa.int64())
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(docs), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
+                        [b.column(0).take(pa.array([r for r, _ in seen], pa.int64())), pa.array([t for _, t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
                         names=["key", "passage", "minimum"],
                     )
 

@@ -214,19 +214,16 @@ class GarbledText:
                 for t in b.column(0).to_pylist():
                     if not t or t.isascii():
                         continue
-                    before = ""
+                    before = b""  # the last line that can be told by itself, or a digest of those since
                     for line in t.split("\n"):
                         line = line.strip(" \t\r+-")
-                        if not line:
+                        if line.isascii():
+                            before = line.encode() or before
                             continue
-                        own = line if line.isascii() else _RUN.sub("", line)
-                        if own is not line:
-                            few = len(_LETTER.findall(own)) < OWN_LETTERS
-                            keys.append(xxhash.xxh3_128_digest((before + "\n" + own if few else own).encode("utf-8", "surrogatepass")))
-                            lines.append(line)
-                            before = (before + "\n" + own) if few else own
-                        else:
-                            before = own
+                        own = _RUN.sub("", line)
+                        few = len(_LETTER.findall(own)) < OWN_LETTERS
+                        before = xxhash.xxh3_128_digest(before + own.encode() if few else own.encode())
+                        keys.append(before), lines.append(line)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string())], names=["skeleton", "line"])
 
         return self._source().select("text").mapInArrow(strip, schema)

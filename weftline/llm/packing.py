@@ -49,9 +49,9 @@ def token_counts(df: DataFrame, item: str, text: str, *, tokenizer: str | None =
     schema = T.StructType([T.StructField("item", df.schema[item].dataType), T.StructField("n_tokens", T.LongType())])
 
     def count(batches):
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(path).encode_to_numpy  # four bytes a token, however long the text
         for b in batches:
-            sizes = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
+            sizes = [len(encode(t, disallowed_special=())) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["item", "n_tokens"])
 
     counted = df.select(col(item).alias("item"), col(text).cast("string").alias("text")).mapInArrow(count, schema)

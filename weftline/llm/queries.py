@@ -46,9 +46,10 @@ def p4_borda(spark: SparkSession, sf: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf: str, size_class: str) -> DataFrame:
     documents = _read(spark, sf, "documents")
-    capacity = _read(spark, sf, "containers").where(F.col("size_class") == size_class).first()["capacity_tokens"]
+    container = _read(spark, sf, "containers").where(F.col("size_class") == size_class).first()
     sizes = token_counts(documents, "doc_id", "text")
-    return pack(sizes, "doc_id", "n_tokens", capacity, n_items=documents.count()).withColumn("size_class", F.lit(size_class))
+    placed = pack(sizes, "doc_id", "n_tokens", container["capacity_tokens"], n_items=documents.count())
+    return placed.withColumns({"container_id": F.lit(container["container_id"]), "size_class": F.lit(size_class)})
 
 
 def p6_pack(spark: SparkSession, sf: str) -> DataFrame:
