@@ -143,7 +143,11 @@ def test_kernels_against_brute_force(spark, seed):
 
 
 def test_distributed_loops_against_brute_force(spark, distributed):
-    check_all(random_graph(3, n=9, m=18))
+    edges = random_graph(3, n=9, m=18)
+    check_all(edges)
+    close(values(w.betweenness(w.from_edgelist(edges), weight=w.col("weight"))), brute_betweenness(edges, True))
+    with pytest.raises(w.ComputeError):
+        w.betweenness(w.from_edgelist(edges), weight=w.lit(0)).collect()
 
 
 def test_distributed_pagerank_with_hubs(spark, distributed, monkeypatch):

@@ -228,35 +228,33 @@ def diameter_approx(spark, sf):
 # ---- communities: labels are arbitrary, so what is compared are facts about them
 
 
-def _modularity(e: w.EdgeFrame, labels: DataFrame, name: str) -> DataFrame:
+def _quality(spark, e: w.EdgeFrame, labels: DataFrame, name: str, least: float) -> DataFrame:
+    """How many nodes have a label, and whether the labels' modularity is over ``least``: three sums, one row."""
     t = e.topology()
     m = float(t.n_edges)
     a, b = (labels.select(F.col("id").alias(end), F.col(name).alias(f"c_{end}")) for end in ("src", "dst"))
-    inside = t.edges.join(a, "src").join(b, "dst").where("c_src = c_dst").agg((F.count("*") / m).alias("inside"))
+    inside = t.edges.join(a, "src").join(b, "dst").where("c_src = c_dst").count() / m
     ends = t.edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").count()
-    shares = ends.join(labels, "id").groupBy(name).agg(F.pow(F.sum("count") / (2 * m), 2).alias("x")).agg(F.sum("x").alias("expected"))
-    facts = labels.agg(F.count("*").alias("n_nodes"), F.lit(1).alias("k"))
-    joined = facts.join(inside.withColumn("k", F.lit(1)), "k").join(shares.withColumn("k", F.lit(1)), "k")
-    return joined.select("n_nodes", (F.col("inside") - F.col("expected")).alias("modularity"))
+    expected = ends.join(labels, "id").groupBy(name).agg(F.pow(F.sum("count") / (2 * m), 2).alias("x")).agg(F.sum("x")).first()[0]
+    return spark.createDataFrame([(labels.count(), inside - expected > least)], "n_nodes long, good boolean")
 
 
 @query(f"with e as ({G.EDGES['tree']}) select count(*)::bigint as n_nodes, true as good from {_nodes()}")
 def lpa(spark, sf):
     e = G.tree(spark, sf)
-    return _modularity(e, w.label_propagation(e, seed=3).to_spark(), "label_propagation").select("n_nodes", (F.col("modularity") > 0.5).alias("good"))
+    return _quality(spark, e, w.label_propagation(e, seed=3).to_spark(), "label_propagation", 0.5)
 
 
 @query(f"with e as ({G.EDGES['tree']}) select count(*)::bigint as n_nodes, true as good from {_nodes()}")
 def louvain(spark, sf):
     e = G.tree(spark, sf)
-    return _modularity(e, w.louvain(e, seed=1).to_spark(), "louvain").select("n_nodes", (F.col("modularity") > 0.7).alias("good"))
+    return _quality(spark, e, w.louvain(e, seed=1).to_spark(), "louvain", 0.7)
 
 
 @query(f"with e as ({G.EDGES['lesmis']}) select count(*)::bigint as n_nodes, true as good from {_nodes()}")
 def louvain_w(spark, sf):
     e = G.lesmis(spark, sf)
-    labels = w.louvain(e, weight=w.col("weight"), resolution=1.0, seed=1).to_spark()
-    return _modularity(e, labels, "louvain").select("n_nodes", (F.col("modularity") > 0.0).alias("good"))
+    return _quality(spark, e, w.louvain(e, weight=w.col("weight"), resolution=1.0, seed=1).to_spark(), "louvain", 0.0)
 
 
 # ---- neighbour aggregates
@@ -386,8 +384,7 @@ def walks(spark, sf):
     found = w.random_walk(e, start, 10, walks_per_node=2, seed=11).to_spark().persist()
     pairs = found.select("walk_id", "step", F.col("node").alias("src")).join(found.select("walk_id", (F.col("step") - 1).alias("step"), F.col("node").alias("dst")), ["walk_id", "step"])
     broken = pairs.join(e.to_spark().select("src", "dst").distinct(), ["src", "dst"], "left_anti")
-    n = found.where("step = 0").agg(F.count("*").alias("n_walks"), F.lit(1).alias("k"))
-    return n.join(broken.agg(F.count("*").alias("n_broken"), F.lit(1).alias("k")), "k").select("n_walks", "n_broken")
+    return spark.createDataFrame([(found.where("step = 0").count(), broken.count())], "n_walks long, n_broken long")
 
 
 # ---- whole graphs

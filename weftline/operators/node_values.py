@@ -20,7 +20,7 @@ from weftline.columns import checkpoint, col
 from weftline.errors import ColumnNotFoundError, ComputeError
 from weftline.functions.expr import Expr
 from weftline.operators import kernels as K
-from weftline.operators.distributed import component_roots, label_votes, louvain_rounds, pagerank_loop, source_distances, source_dependencies, strong_component_roots
+from weftline.operators.distributed import component_roots, label_votes, louvain_rounds, pagerank_loop, source_dependencies, source_distances, strong_component_roots, weighted_dependencies
 from weftline.operators.tail import DEFAULT_SEED
 from weftline.topology import Topology, encode, kernel_edges
 
@@ -217,9 +217,7 @@ def betweenness(t: Topology, sample: float | None = None, weight: Expr | None =
     if not t.n_edges:
         return t.spark.createDataFrame([], _schema(t, T.DoubleType()))
     if not t.small:
-        if weight is not None:
-            raise ComputeError("weighted betweenness needs the whole graph in each task: raise weftline.kernel.edges if the executors can hold it")
-        return source_dependencies(t, drawn)
+        return source_dependencies(t, drawn) if weight is None else weighted_dependencies(t, edges, drawn)
     n = t.vertices.count()
     scale = n / len(drawn(n))
 
