@@ -208,6 +208,17 @@ def test_communities(spark):
         w.label_propagation(e, weight=w.col("weight"))
 
 
+def test_louvain_finds_planted_blocks(spark):
+    import numpy as np
+
+    block = np.arange(300) // 50
+    hit = np.random.default_rng(3).random((300, 300)) < np.where(block[:, None] == block[None, :], 0.2, 0.004)
+    np.fill_diagonal(hit, False)
+    s, d = np.nonzero(hit)
+    found = values(w.louvain(w.EdgeFrame({"src": s, "dst": d}, src="src", dst="dst"), seed=2))
+    assert len({(int(block[v]), c) for v, c in found.items()}) == 6 == len(set(found.values()))
+
+
 def test_communities_distributed(spark, distributed):
     e = w.from_edgelist(CLIQUES)
     louvain = values(w.louvain(e, seed=1))

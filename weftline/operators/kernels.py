@@ -187,31 +187,45 @@ def dijkstra(graph: Csr, source: int) -> dict[int, float]:
     return done
 
 
-def brandes(graph: Csr, back: Csr, source: int, total: np.ndarray) -> None:
-    """Add the dependencies of one source: level by level out, then back. Parallel edges are paths of their own."""
+def brandes(graph: Csr, source: int, total: np.ndarray) -> None:
+    """Add the dependencies of one source: level by level out, then back. Parallel edges are paths of their own.
+
+    An edge from the newest level to a node not seen before it lies on a shortest path. On the way back each node
+    passes on ``(1 + dependency) / paths``, which its predecessors sum.
+    """
     n = graph.n
-    level = np.full(n, -1)
-    sigma = np.zeros(n)
-    level[source], sigma[source] = 0, 1.0
-    fronts, depth, front = [], 0, np.array([source])
-    while len(front):
+    seen = np.zeros(n, bool)
+    sigma, gathered, passed = np.zeros(n), np.zeros(n), np.zeros(n)
+    front = np.array([source])
+    seen[source], sigma[source] = True, 1.0
+    levels = []
+    while True:
         slots = graph.out_slots(front)
         to = graph.dst[slots]
-        fresh = level[to] < 0
-        level[to[fresh]] = depth + 1
-        onward = level[to] == depth + 1
-        slots, to = slots[onward], to[onward]
+        fresh = ~seen[to]
+        slots, to = slots[fresh], to[fresh]
         if not len(to):
             break
-        np.add.at(sigma, to, sigma[graph.src[slots]])
-        fronts.append(slots)
-        front, depth = np.unique(to), depth + 1
-    delta = np.zeros(n)
-    for slots in reversed(fronts):
-        v, u = graph.src[slots], graph.dst[slots]
-        np.add.at(delta, v, sigma[v] / sigma[u] * (1 + delta[u]))
-    delta[source] = 0
-    total += delta
+        origin = graph.src[slots]
+        if 8 * len(to) > n:
+            before = seen.copy()
+            seen[to] = True
+            after = np.flatnonzero(seen & ~before)
+            sigma += np.bincount(to, weights=sigma[origin], minlength=n)
+        else:
+            seen[to] = True
+            after = np.unique(to)
+            np.add.at(sigma, to, sigma[origin])
+        levels.append((front, origin, to, after))
+        front = after
+    for front, origin, to, after in reversed(levels):
+        passed[after] = gathered[after] + 1 / sigma[after]
+        if 8 * len(to) > n:
+            gathered += np.bincount(origin, weights=passed[to], minlength=n)
+        else:
+            np.add.at(gathered, origin, passed[to])
+    gathered[source] = 0
+    total += gathered * sigma
 
 
 def brandes_weighted(graph: Csr, source: int, total: np.ndarray) -> None:
@@ -295,25 +309,34 @@ def _local_moves(g: Csr, degree: np.ndarray, total: float, resolution: float, rn
     community, inside, k = list(range(g.n)), degree.tolist(), degree.tolist()
     if total <= 0:
         return np.array(community, np.int64), False
-    start, dst, w = g.start.tolist(), g.dst.tolist(), g.w.tolist()
+    ends, w = g.start.tolist(), g.w.tolist()
+    near = g.dst.tolist()
+    around = [list(zip(near[a:b], w[a:b])) for a, b in zip(ends, ends[1:])]
     order, ever, moving = rng.permutation(g.n).tolist(), False, True
+    stale = [True] * g.n  # whether a node's surroundings changed since it last chose to stay
     while moving:
         moving = False
         for v in order:
+            if not stale[v]:
+                continue
             links: dict[int, float] = {}
-            for s in range(start[v], start[v + 1]):
-                c = community[dst[s]]
-                links[c] = links.get(c, 0.0) + w[s]
-            old = community[v]
+            get = links.get
+            for u, x in around[v]:
+                c = community[u]
+                links[c] = get(c, 0.0) + x
+            old, pull = community[v], resolution * k[v] / total
             inside[old] -= k[v]
-            best, gain = old, links.get(old, 0.0) - resolution * inside[old] * k[v] / total
+            best, gain = old, get(old, 0.0) - inside[old] * pull
             for c in sorted(links):
-                g_c = links[c] - resolution * inside[c] * k[v] / total
+                g_c = links[c] - inside[c] * pull
                 if g_c > gain + 1e-12:
                     best, gain = c, g_c
             inside[best] += k[v]
+            stale[v] = False
             if best != old:
                 community[v], moving, ever = best, True, True
+                for u, _ in around[v]:
+                    stale[u] = True
     return np.array(community, np.int64), ever
 
 

@@ -223,10 +223,9 @@ def betweenness(t: Topology, sample: float | None = None, weight: Expr | None =
 
     def work(ids, graph, at):
         total = np.zeros(len(ids))
-        back = graph.reversed()
         for s in at.tolist():
             if weight is None:
-                K.brandes(graph, back, s, total)
+                K.brandes(graph, s, total)
             else:
                 K.brandes_weighted(graph, s, total)
         yield pa.RecordBatch.from_arrays([ids, pa.array(total)], names=["id", "value"])
