@@ -80,3 +80,14 @@ def test_undo_is_exact(written, read):
             assert undo(garble(line, written, read), written, read) in (line, None if line.isascii() else line)
         except UnicodeEncodeError:
             pass
+
+
+def test_copies_of_a_garbled_text_outnumber_its_twin(spark):
+    """Copies don't count against a word, and a clean twin settles it, however frequent either is."""
+    line = "Kürze die geprüften Schlüssel für Knoten"
+    words = [(10 + n, f"Zeile {n}: größere Blöcke") for n in range(4)]
+    rows = [(k, garble(line, "cp1252", "mac_roman")) for k in range(6)] + [(6, line)]
+    rows += [(20 + k, "ganz anderswo: " + garble("größere Blöcke", "cp1252", "mac_roman")) for k in range(6)] + words
+    g = GarbledText(frame(spark, rows), key="id", text="text")
+    assert {r["id"] for r in g.found().collect()} == {*range(6), *range(20, 26)}
+    assert {r["restored_text"] for r in g.restored().collect()} == {line, "ganz anderswo: größere Blöcke"}

@@ -36,7 +36,7 @@ READ = [e for e in WRITTEN if e != "utf_8"]
 #: Letters that a line has to have besides its non-ASCII characters, to be told from others by them;
 #: lines of fewer are told by the lines before, too.
 OWN_LETTERS = 8
-#: A word's restored form has to be in so many documents, and in so many times the documents of the word.
+#: A word's restored form has to be in so many documents, texts or lines, and in so many times those of the word.
 KNOWN_DOCUMENTS = 2
 KNOWN_TIMES = 3
 #: Words of a transformation that are known once restored, for the vocabulary alone to teach it.
@@ -127,6 +127,44 @@ def _plain(text: str) -> bool:
     return _natural(text) and all(c <= "\x7f" or c.isalpha() or c in _PROSE or "\u3000" <= c <= "\u30ff" or c >= "\uff00" for c in text)
 
 
+class _Kinds(dict):
+    """Characters by kind: l, c, g small letters of Latin, Cyrillic, Greek, a those of Latin with accents, and
+    their capitals; s other signs, x what is not natural, o further letters and what is usual in prose."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        if c <= "\x7f":
+            kind = "l" if c.isalpha() else " "
+        elif not _natural(c):
+            kind = "x"
+        elif not c.isalpha() or 0xFF61 <= code <= 0xFF9F:
+            kind = "o" if c in _PROSE or 0x3000 <= code <= 0x303F or code >= 0xFF00 and not 0xFF61 <= code <= 0xFF9F else "s"
+        else:
+            kind = "a" if code < 0x250 or 0x1E00 <= code <= 0x1EFF else "g" if code < 0x400 else "c" if code < 0x460 else "o"
+        self[code] = kind = kind.upper() if c.isupper() else kind
+        return kind
+
+
+_KINDS = _Kinds()
+_ODD = re.compile("x|(?<=[laLA])[cgCG]|(?<=[cC])[laLAgG]|(?<=[gG])[laLAcC]|(?<=[lacg])[LACG]|(?<=[lacgLACG])s|s(?=[lacgLACG])|[aA]{3,}")
+
+
+def _odd(text: str) -> int:
+    """Places that hardly occur in prose: capitals after small letters, scripts mixed, signs within words."""
+    return len(_ODD.findall(text.translate(_KINDS)))
+
+
+def _tokens(line: str) -> dict[tuple[int, int], str]:
+    """The words with non-ASCII characters by their place in the line stripped of such characters."""
+    out, gone = {}, 0
+    for m in _WORD.finditer(line):
+        ascii_only = len(_RUN.sub("", m[0]))
+        at = m.start() - gone
+        out[at, at + ascii_only] = m[0]
+        gone += len(m[0]) - ascii_only
+    return out
+
+
 def _runs(line: str) -> dict[int, str]:
     """The runs of non-ASCII characters by their place in the line stripped of them."""
     out, gone = {}, 0
@@ -169,7 +207,7 @@ def _restored_line(line: str, table: dict, n: list[int]) -> str:
 class GarbledText:
     """The affected documents of a corpus, and their restored text.
 
-    ``words`` has ``(key, word)``, each word with non-ASCII characters of each document; ``verdicts`` has
+    ``words`` has ``(key, word, digest)``, each word with non-ASCII characters of each document and its text; ``verdicts`` has
     ``(word, restored, how)`` for each garbled word: its original, null where that can't be had, and the
     transformations that it went through.
 
@@ -183,6 +221,8 @@ class GarbledText:
         self.key, self.text, self.documents = key, text, documents
         self.spark = documents.sparkSession
         self.words = checkpoint(self._words())
+        self.variants = checkpoint(self._lines().groupBy("skeleton", "line").agg(F.count("*").alias("n"), F.first("odd").alias("odd")))
+        self.twins = checkpoint(self._twins())
         self.learned = self._learned()
         self.verdicts = self._verdicts()
 
@@ -190,23 +230,25 @@ class GarbledText:
         return self.documents.select(col(self.key).alias("key"), col(self.text).cast("string").alias("text"))
 
     def _words(self) -> DataFrame:
-        schema = T.StructType([T.StructField("key", self.documents.schema[self.key].dataType), T.StructField("word", T.StringType())])
+        schema = T.StructType([T.StructField("key", self.documents.schema[self.key].dataType), T.StructField("word", T.StringType()), T.StructField("digest", T.LongType())])
 
         def split(batches):
             for b in batches:
-                at, out = [], []
+                at, out, digests = [], [], []
                 for i, t in enumerate(b.column(1).to_pylist()):
                     if t and not t.isascii():
                         mine = set(_WORD.findall(t))
                         at += [i] * len(mine)
                         out += sorted(mine)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["key", "word"])
+                        digests += [xxhash.xxh3_64_intdigest(t.encode()) - 2**63] * len(mine)
+                columns = [b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string()), pa.array(digests, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "word", "digest"])
 
         return self._source().mapInArrow(split, schema)
 
     def _lines(self) -> DataFrame:
-        """``(skeleton, line)`` of the lines with non-ASCII characters; the skeleton is hashed."""
-        schema = T.StructType([T.StructField("skeleton", T.BinaryType()), T.StructField("line", T.StringType())])
+        """``(skeleton, line, odd)`` of the lines with non-ASCII characters; the skeleton is hashed."""
+        schema = T.StructType([T.StructField("skeleton", T.BinaryType()), T.StructField("line", T.StringType()), T.StructField("odd", T.IntegerType())])
 
         def strip(batches):
             for b in batches:
@@ -224,62 +266,95 @@ class GarbledText:
                         few = len(_LETTER.findall(own)) < OWN_LETTERS
                         before = xxhash.xxh3_128_digest(before + own.encode() if few else own.encode())
                         keys.append(before), lines.append(line)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string())], names=["skeleton", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string())], names=["skeleton", "line"]).append_column("odd", pa.array(map(_odd, lines), pa.int32()))
 
         return self._source().select("text").mapInArrow(strip, schema)
 
-    def _learned(self) -> dict[str, int]:
-        """Transformations by the number of twin lines that show them; as many as pairs of encodings at most.
+    def _twins(self) -> DataFrame:
+        """``(word, restored, how, sure)`` of the words of twin lines that a transformation turns into each other.
 
-        Of the lines with one skeleton the most frequent stands for all, and each other one is aligned
-        with it only.
+        Of the lines with one skeleton the most frequent and the least odd stand for all, and each other one is
+        aligned with these, both ways. It is sure which word is garbled if it is odder than its twin. ``how`` alone
+        is of runs whose words are at other places.
         """
-        variants = checkpoint(self._lines().groupBy("skeleton", "line").agg(F.count("*").alias("n")))
-        rep = F.max(F.struct("n", (-F.length("line")).alias("short"), "line"))
-        reps = variants.groupBy("skeleton").agg(rep["line"].alias("clean"), F.count("*").alias("k")).where("k > 1")
-        twins = variants.join(reps, "skeleton").where(F.col("line") != F.col("clean")).select("line", "clean")
+        most = F.max(F.struct("n", (-F.length("line")).alias("short"), "line"))["line"]
+        least = F.max(F.struct((-F.col("odd")).alias("even"), "n", (-F.length("line")).alias("short"), "line"))["line"]
+        reps = self.variants.groupBy("skeleton").agg(F.array_distinct(F.array(most, least)).alias("reps"), F.count("*").alias("k")).where("k > 1")
+        pairs = self.variants.join(reps, "skeleton").select("line", F.explode("reps").alias("clean")).where(F.col("line") != F.col("clean"))
 
         def align(batches):
             seen: dict[tuple[str, str], list[str]] = {}
+
+            def between(*pair: str) -> list[str]:
+                if pair not in seen:
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen[pair] = _between(*pair)
+                return seen[pair]
+
             for b in batches:
-                out = []
+                out = set()
                 for line, clean in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     here, there = _runs(line), _runs(clean)
-                    explained: set[str] = set()
+                    shown = set()
                     for place, run in here.items():
                         other = there.get(place)
                         if other and other != run:
-                            for pair in ((run, other), (other, run)):
-                                if pair not in seen:
-                                    if len(seen) > 100_000:
-                                        seen.clear()
-                                    seen[pair] = _between(*pair)
-                                explained.update(t for t in seen[pair] if pair[0] is run or t.startswith("utf_8>"))
-                    out += explained
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["t"])
-
-        shown = twins.mapInArrow(align, "t string").groupBy("t").agg(F.count("*").alias("n")).toArrow()
-        return dict(zip(shown["t"].to_pylist(), shown["n"].to_pylist()))
+                            shown.update(between(run, other), between(other, run))
+                    out.update((None, None, t, False) for t in shown)
+                    if shown:
+                        there = _tokens(clean)
+                        for place, word in _tokens(line).items():
+                            other = there.get(place)
+                            if other and other != word:
+                                for garbled, back in ((word, other), (other, word)):
+                                    out.update((garbled, back, t, _odd(garbled) > _odd(back)) for t in between(garbled, back))
+                columns = list(zip(*sorted(out, key=str))) or [()] * 4
+                kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["word", "restored", "how", "sure"])
+
+        return pairs.mapInArrow(align, "word string, restored string, how string, sure boolean").distinct()
+
+    def _learned(self) -> dict[str, int]:
+        """Transformations by the number of twin words that show them; as many as pairs of encodings at most."""
+        shown = self.twins.groupBy("how").agg(F.count("*").alias("n")).toArrow()
+        return dict(zip(shown["how"].to_pylist(), shown["n"].to_pylist()))
 
     def _verdicts(self) -> DataFrame:
-        known = checkpoint(self.words.groupBy("word").agg(F.count("*").alias("n")))
+        def split(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([w for t in b.column(0).to_pylist() for w in set(_WORD.findall(t))], pa.string())], names=["word"])
+
+        # Copies count in rows; of texts and lines, each counts once.
+        texts = self.words.groupBy("word", "digest").agg(F.count("*").alias("n")).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+        lines = self.variants.select("line").mapInArrow(split, "word string").groupBy("word").agg(F.count("*").alias("lines"))
+        known = checkpoint(texts.join(lines, "word", "left").select("word", "n", "texts", F.coalesce("lines", F.lit(1)).alias("lines")))
 
         def guess(batches):
             for b in batches:
-                word, n, back, how = [], [], [], []
-                for w, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                word, n, texts, lines, back, odder, how = [], [], [], [], [], [], []
+                for w, k, x, l in zip(*(c.to_pylist() for c in b.columns)):
                     for r, ts in _undone(w).items():
                         utf8 = any(t.startswith("utf_8>") for t in ts)
-                        word.append(w), n.append(k), back.append(r), how.append(ts if not utf8 else [t for t in ts if t.startswith("utf_8>")])
+                        word.append(w), n.append(k), texts.append(x), lines.append(l), back.append(r), odder.append(_odd(w) - _odd(r)), how.append(ts if not utf8 else [t for t in ts if t.startswith("utf_8>")])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(back, pa.string()), pa.array(how, pa.list_(pa.string()))],
-                    names=["word", "n", "restored", "how"],
+                    [pa.array(word, pa.string()), pa.array(n, pa.int64()), pa.array(texts, pa.int64()), pa.array(lines, pa.int64()), pa.array(back, pa.string()), pa.array(odder, pa.int64()), pa.array(how, pa.list_(pa.string()))],
+                    names=["word", "n", "texts", "lines", "restored", "odder", "how"],
                 )
 
-        guesses = known.mapInArrow(guess, "word string, n long, restored string, how array<string>")
-        judged = guesses.join(known.select(F.col("word").alias("restored"), F.col("n").alias("m")), "restored", "left")
-        better = (F.col("m") >= KNOWN_DOCUMENTS) & (F.col("m") >= KNOWN_TIMES * F.col("n"))
-        judged = checkpoint(judged.select("word", "n", "restored", "how", "m", F.coalesce(better, F.lit(False)).alias("better")))
+        guesses = known.mapInArrow(guess, "word string, n long, texts long, lines long, restored string, odder long, how array<string>")
+        judged = guesses.join(known.select(F.col("word").alias("restored"), F.col("n").alias("m"), F.col("texts").alias("m_texts"), F.col("lines").alias("m_lines")), "restored", "left")
+        twins = self.twins.where("word is not null").groupBy("word", "restored").agg(F.max("sure").alias("sure"))
+        judged = judged.join(twins, ["word", "restored"], "left")
+        many = lambda m, n: (F.col(m) >= KNOWN_DOCUMENTS) & (F.col(m) >= KNOWN_TIMES * F.col(n))
+        odder, more = F.col("odder"), F.col("m_texts") > F.col("texts")
+        by_count = (many("m", "n") & ((odder >= 0) | more)) | (many("m_texts", "texts") & (odder >= 0))
+        # One clean line may be in many texts, and be garbled in several ways: lines count for what is odd only.
+        by_lines = many("m_lines", "lines") & (odder > 0)
+        # A word with a twin is known by it, and only which of the two is garbled is open.
+        by_twin = F.col("sure") | (F.col("sure").isNotNull() & (odder >= 0) & more)
+        better = F.coalesce(by_count | by_lines, F.lit(False)) | F.coalesce(by_twin, F.lit(False))
+        judged = checkpoint(judged.select("word", "n", "restored", "how", "m", better.alias("better")))
         taught = judged.where("better").select(F.explode("how").alias("t"), "word").groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= VOCABULARY_WORDS)
         active = sorted({*self.learned, *[r["t"] for r in taught.toLocalIterator()]})
         if not active:
@@ -317,7 +392,7 @@ class GarbledText:
         ``n_lost`` words have none and stay. Words too short to be judged by themselves follow the others of their
         line. The verdicts of a document come to it by a join on its words.
         """
-        hits = self.words.join(self.verdicts, "word")
+        hits = self.words.select("key", "word").join(self.verdicts, "word")
         per_doc = hits.distinct().groupBy("key").agg(F.collect_list(F.struct("word", "restored", "how")).alias("fixes"))
         schema = T.StructType(
             [T.StructField("key", self.documents.schema[self.key].dataType), T.StructField("restored_text", T.StringType())]
