@@ -91,3 +91,12 @@ def test_copies_of_a_garbled_text_outnumber_its_twin(spark):
     g = GarbledText(frame(spark, rows), key="id", text="text")
     assert {r["id"] for r in g.found().collect()} == {*range(6), *range(20, 26)}
     assert {r["restored_text"] for r in g.restored().collect()} == {line, "ganz anderswo: größere Blöcke"}
+
+
+def test_garbled_parts_beside_clean_characters(spark):
+    """What adjoins a garbled run without a blank (quotes, dashes, East Asian text) doesn't hide it."""
+    word = garble("naïve", "utf_8", "cp1252")
+    rows = [(1, f"the “{word}” way"), (2, f"順序は{word}変わらない。"), (3, f"a—{word}—b"), (4, "the “naïve” way"), (5, "順序はnaïve変わらない。")]
+    g = GarbledText(frame(spark, rows), key="id", text="text")
+    assert sorted(r["id"] for r in g.found().collect()) == [1, 2, 3]
+    assert {r["restored_text"] for r in g.restored().collect()} == {"the “naïve” way", "順序はnaïve変わらない。", "a—naïve—b"}

@@ -109,9 +109,44 @@ def _undone(word: str) -> dict[str, list[str]]:
                     out.setdefault(back, []).append(f"{written}>{read}")
                 further = undo(back, written, read) if written == "utf_8" else None
                 back = further if further and len(further) < len(back) else None
+    if not any(t.startswith("utf_8>") for ts in out.values() for t in ts):
+        for back, ts in _undone_inside(word).items():
+            out.setdefault(back, []).extend(ts)
     return out
 
 
+def _undone_inside(word: str) -> dict[str, list[str]]:
+    """All texts made by undoing UTF-8 misread in single bytes in parts of ``word`` only.
+
+    A part that can be undone is a lead byte and its continuation bytes, as characters of the reader; what
+    stands beside them stays: prose signs, blanks, and characters that the reader doesn't have. Others that the
+    reader has would have been misread as well, so that the parts are there by chance.
+    """
+    out: dict[str, list[str]] = {}
+    for read in SINGLE_BYTE:
+        beside = _RUN.findall(_parts(read).sub(" ", word))
+        if any(c not in _PROSE and not c.isspace() and _encode(c, read) is not None for run in beside for c in run):
+            continue
+        back, times = word, 0
+        for _ in range(MISREADINGS):
+            further = _parts(read).sub(lambda m: undo(m[0], "utf_8", read) or m[0], back)  # noqa: B023
+            if further == back:
+                break
+            back, times = further, times + 1
+        if times and not _BROKEN.search(back) and _odd(back) < _odd(word):
+            out.setdefault(back, []).append(f"utf_8>{read}")
+    return out
+
+
+@lru_cache(maxsize=None)
+def _parts(read: str) -> re.Pattern:
+    """Characters that valid UTF-8 of several bytes is read as."""
+    text = _table(read)[0]
+    of = lambda first, last: "[" + re.escape(text[first : last + 1]) + "]"
+    more = of(0x80, 0xBF)
+    return re.compile(f"(?:{of(0xC2, 0xDF)}{more}|{of(0xE0, 0xEF)}{more}{more}|{of(0xF0, 0xF4)}{more}{more}{more})+")
+
+
 def _natural(text: str) -> bool:
     """Whether all characters are punctuation, symbols, or letters in common use."""
     for c in text:
