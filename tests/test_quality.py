@@ -177,6 +177,10 @@ def test_odd_records(spark):
     check_records(spark, ODD_RECORDS)
 
 
+def test_weight_of_many_zeros(spark):
+    check_records(spark, [f"a,b,{'0' * n}" for n in (1, 10, 11, 12, 4000)] + ["a,b,000000000002147483648"])
+
+
 def test_random_records(spark):
     rng = random.Random(9)
     check_records(spark, ["".join(rng.choices('ab1"",, \t\n\r', k=rng.randrange(14))) for _ in range(4000)])

@@ -50,7 +50,7 @@ def _content(field: Column) -> Column:
 
 def _weight(text: Column) -> Column:
     """The int that ``text`` spells in ASCII digits, else null. Leading zeros are good."""
-    digits = F.regexp_replace(text, r"\A0++(?=[0-9])", "")
+    digits = F.regexp_replace(text, r"\A0+(?=[0-9])", "")
     return F.when(digits.rlike(r"\A[0-9]{1,10}\z"), F.try_to_number(digits, F.lit("9999999999")).cast("long")).cast("long")
 
 
