@@ -14,19 +14,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from weftline.columns import col, require
+from weftline.columns import col, require, stored
+from weftline.operators.prefix import running_sums
 
 __all__ = ["orphan_references", "orphan_report", "key_filter", "FILTER_MAX_BITS"]
 
-#: Hash functions of the filter, and the bounds of its size in bits (16 MiB at most, whatever the data).
+#: Hash functions of the filter, and the bounds of its size in bits (64 MiB at most, whatever the data). At most size
+#: it has ten bits a key for 54 million parent keys; of 200 million it still proves half of what is missing.
 FILTER_HASHES = 4
 FILTER_MIN_BITS = 1 << 16
-FILTER_MAX_BITS = 1 << 27
+FILTER_MAX_BITS = 1 << 29
 
-#: A key with more rows than this, and than its share of all rows, is busy. There are fewer busy keys than
-#: ``MOST_BUSY``, however many rows there are.
-KEY_ROWS = 100_000
-MOST_BUSY = 4096
+#: Rows of one key that are swept in one task. The rows of a key with more are spread by time.
+KEY_ROWS = 1_000_000
 
 
 def _positions(key, bits: int):
@@ -101,13 +101,13 @@ def orphan_references(
     moment (the latter still make the key known). Other columns, whatever their names, are ignored;
     empty tables give an empty result, or all references as ``missing``.
 
-    References are verified key by key, with lives and references swept in order of time: one shuffle. A busy
-    key is no single task's work: its references are split by day, and lives before the day enter as one
-    number. A day of one key is the smallest unit.
+    References are verified key by key, with lives and references swept in order of time: one shuffle. The rows of a key
+    with more than ``KEY_ROWS`` are no single task's work: they are sorted into ranges of time of equal size, and what happened
+    before a range enters it as two numbers.
     """
     require(records, record_id, seen_at, *references)
     require(parents, key, begins_at, ends_at, version)
-    lives = (
+    lives = stored(
         parents.where(col(key).isNotNull() & col(begins_at).isNotNull())
         .groupBy(col(key).alias("key"), col(begins_at).alias("t"))
         .agg(F.max(F.struct(col(version).alias("v"), col(ends_at).alias("e")))["e"].alias("e"))
@@ -116,7 +116,7 @@ def orphan_references(
 
     at = F.posexplode(F.array(*[col(r) for r in references])).alias("endpoint", "key")
     refs = records.select(col(record_id).alias("record_id"), col(seen_at).alias("t"), at).where(F.col("key").isNotNull())
-    tagged = _tagged(refs, words)
+    tagged = stored(_tagged(refs, words))
     proven = tagged.where(~F.col("maybe")).select("record_id", "endpoint", "key", "t").distinct().withColumn("cause", F.lit("missing"))
 
     # What passes the filter is verified exactly, against the moments at which lives begin and end.
@@ -126,11 +126,11 @@ def orphan_references(
     moments = begun.unionByName(ended).select("key", "t", "kind", *[c.alias(n) for n, c in none.items()])
     asked = tagged.where("maybe").select("key", "t", F.lit(_REFERENCE).alias("kind"), "record_id", "endpoint")
     rows = moments.unionByName(asked)
-    most = max(KEY_ROWS, (records.count() * len(references) + parents.count()) / MOST_BUSY)
-    busy = _busy_keys(refs, parents.select(col(key).alias("key")), most)
-    verified = _by_key(rows.where(~F.col("key").isin(busy)) if busy else rows)
-    if busy:
-        verified = verified.unionByName(_by_day(rows.where(F.col("key").isin(busy)).distinct()))
+    busy = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > KEY_ROWS).select("key"))
+    if busy.isEmpty():
+        verified = _by_key(rows)
+    else:
+        verified = _by_key(rows.join(busy, "key", "left_anti")).unionByName(_by_time(rows.join(busy, "key", "left_semi")))
     cause = F.when(F.col("lives") == 0, "missing").when(F.col("born") == 0, "late").otherwise("deleted")
     dangling = verified.where((F.col("kind") == _REFERENCE) & (F.col("alive") <= 0)).withColumn("cause", cause)
     names = F.array(*[F.lit(r) for r in references])
@@ -150,12 +150,6 @@ def _alive():
     return F.when(F.col("kind") == _BEGIN, 1).when(F.col("kind") == _END, -1).otherwise(0)
 
 
-def _busy_keys(refs: DataFrame, parents: DataFrame, most: float) -> list:
-    """The few keys with more rows than ``most``, before any are merged."""
-    counts = refs.select("key").unionByName(parents).groupBy("key").agg(F.count("*").alias("n"))
-    return [r["key"] for r in counts.where((F.col("n") > most) & F.col("key").isNotNull()).select("key").toLocalIterator()]
-
-
 def _by_key(rows: DataFrame) -> DataFrame:
     """Repeated references are merged and all swept where the key's rows already are."""
     once = rows.repartition("key").distinct()
@@ -167,25 +161,11 @@ def _by_key(rows: DataFrame) -> DataFrame:
     )
 
 
-def _by_day(rows: DataFrame) -> DataFrame:
+def _by_time(rows: DataFrame) -> DataFrame:
     """As :func:`_by_key`, for keys of any number of rows."""
-    day = F.coalesce(F.to_date("t"), F.lit("0001-01-01").cast("date"))
-    rows = rows.withColumn("day", day).repartition("key", "day")
-    per_day = rows.groupBy("key", "day").agg(F.sum(_born()).alias("born"), F.sum(_alive()).alias("alive"))
-    by_key = Window.partitionBy("key")
-    before = by_key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    base = per_day.select(
-        "key", "day",
-        F.coalesce(F.sum("born").over(before), F.lit(0)).alias("born0"),
-        F.coalesce(F.sum("alive").over(before), F.lit(0)).alias("alive0"),
-        F.sum("born").over(by_key).alias("lives"),
-    )
-    sweep = Window.partitionBy("key", "day").orderBy(F.col("t").asc_nulls_first(), "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(base, ["key", "day"]).select(
-        "record_id", "endpoint", "t", "kind", "lives",
-        (F.col("born0") + F.sum(_born()).over(sweep)).alias("born"),
-        (F.col("alive0") + F.sum(_alive()).over(sweep)).alias("alive"),
-    )
+    order = [F.col("t").asc_nulls_first(), F.col("kind"), F.col("record_id"), F.col("endpoint")]
+    swept = running_sums(rows.distinct(), "key", order, {"born": _born(), "alive": _alive()}, totals=("born",))
+    return swept.select("record_id", "endpoint", "t", "kind", F.col("total_born").alias("lives"), "born", "alive")
 
 
 def orphan_report(orphans: DataFrame, *, table: str, seen_at: str) -> DataFrame:
