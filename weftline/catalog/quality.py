@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.catalog.registry import query, read
-from weftline.operators.dense_counts import busy_keys, dense_totals
+from weftline.operators.dense_counts import busy_keys, dense_totals, rows_with_keys
 from weftline.operators.orphans import orphan_references, orphan_report
 from weftline.operators.strict_load import rejected_records, strict_load
 
@@ -88,7 +88,8 @@ _TOTALS = """with total as (
 
 @query(f"{_TOTALS} select endpoint, node_name from total qualify n_rows >= 0.02 * sum(n_rows) over (partition by endpoint)")
 def p5_found(spark, sf):
-    return busy_keys(_totals(spark, sf), 0.02).select("endpoint", "node_name")
+    per_column = rows_with_keys(read(spark, sf, "lesmis_edges"), ["src", "dst"])
+    return busy_keys(_totals(spark, sf), 0.02, per_column).select("endpoint", "node_name")
 
 
 @query(f"{_TOTALS} select * from total")
