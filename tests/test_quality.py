@@ -57,7 +57,6 @@ def brute_orphans(nodes, edges):
 @pytest.mark.parametrize("busy", [100_000, 20, 0])
 def test_orphans_against_brute_force(spark, monkeypatch, busy):
     monkeypatch.setattr(module, "KEY_ROWS", busy)
-    monkeypatch.setattr(module, "MOST_BUSY", 10**9)
     rng = random.Random(4)
     nodes = []
     for k in range(60):
@@ -75,7 +74,6 @@ def test_orphans_against_brute_force(spark, monkeypatch, busy):
 @pytest.mark.parametrize("busy", [100_000, 0])
 def test_orphans_at_the_edges_of_lives(spark, monkeypatch, busy):
     monkeypatch.setattr(module, "KEY_ROWS", busy)
-    monkeypatch.setattr(module, "MOST_BUSY", 10**9)
     nodes = [(1, at(10), at(20), at(0)), (1, at(20), None, at(0)), (2, at(5), None, at(1)), (2, at(5), at(6), at(2)), (None, at(0), None, at(0)), (3, None, None, at(0)), (4, at(9), at(9), at(0))]
     edges = [(1, 1, 2, at(10)), (2, 1, 2, at(5)), (3, 1, 2, at(19)), (4, 1, 3, at(20)), (5, 4, 4, at(9)), (6, 1, None, None), (6, 1, None, None)]
     assert [(r["edge_id"], r["endpoint"], r["cause"]) for r in orphans(spark, nodes, edges)] == [
@@ -107,6 +105,35 @@ def test_filter_has_no_false_negative_and_few_false_positives(spark):
     assert tagged[tagged.key % 2 == 1].maybe.mean() < 0.05
 
 
+def test_one_key_and_one_moment_hold_most(spark, monkeypatch):
+    """Rows of one key at one time, or at none, are spread as well."""
+    monkeypatch.setattr(module, "KEY_ROWS", 50)
+    nodes = [(1, at(10), at(20), at(0)), (1, at(30), None, at(0)), (2, at(5), None, at(0))]
+    edges = [(k, 1, 2, at(15)) for k in range(400)] + [(1000 + k, 1, None, at(25)) for k in range(200)] + [(2000 + k, None, 1, None) for k in range(90)]
+    got = orphans(spark, nodes, edges)
+    assert Counter((r["endpoint"], r["cause"]) for r in got) == {("src", "deleted"): 200, ("dst", "late"): 90}
+
+
+@pytest.mark.parametrize("parts", [1, 3, 16])
+def test_running_sums(spark, parts):
+    from pyspark.sql import functions as F
+
+    from weftline.operators.prefix import running_sums
+
+    rng = random.Random(parts)
+    rows = [(rng.choice("aaaaab"), k, rng.randrange(-3, 9)) for k in range(500)] + [("c", 0, 1)]
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.createDataFrame(rows, "key string, at int, part int").repartition(5)
+        got = running_sums(df, "key", [F.col("at").desc()], {"s": F.col("part"), "n": F.lit(1)}, totals=("s",)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    for r in got:
+        after = [x for k, a, x in rows if k == r["key"] and a >= r["at"]]
+        assert (r["s"], r["n"], r["total_s"]) == (sum(after), len(after), sum(x for k, _, x in rows if k == r["key"]))
+    assert len(got) == 501
+
+
 # ---- records
 
 
@@ -226,6 +253,11 @@ def test_totals_against_brute_force(spark, monkeypatch, block):
     assert got == brute_totals(rows)
 
 
+def test_sums_beyond_64_bits_are_an_error(spark):
+    with pytest.raises(Exception, match="64 bits"):
+        totals(spark, [("a", "b", 2**62)] * 4)
+
+
 def test_totals_of_nothing(spark):
     assert totals(spark, [])[1] == {}
     assert totals(spark, [(None, None, 5)])[1] == {}
@@ -235,4 +267,6 @@ def test_busy_keys(spark):
     rows = [("a", "z", 1)] * 2 + [(f"n{k}", "z" if k % 2 else None, 1) for k in range(98)]
     df, _ = totals(spark, rows)
     assert {(r["endpoint"], r["node_name"]) for r in busy_keys(df, 0.02).collect()} == {("src", "a"), ("dst", "z")}
+    per_column = dense_counts.rows_with_keys(spark.createDataFrame(rows, "src string, dst string, weight int"), ["src", "dst"])
+    assert sorted(map(tuple, busy_keys(df, 0.02, per_column).select("endpoint", "node_name").collect())) == [("dst", "z"), ("src", "a")]
     assert len(busy_keys(df, 0.0).collect()) == 100 and Counter(r["endpoint"] for r in busy_keys(df, 0.01).collect())["src"] == 99
