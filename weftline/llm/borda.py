@@ -10,18 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.columns import checkpoint, col, require
+from weftline.columns import col, require, stored
 from weftline.llm.topn import top_n_per_group
+from weftline.operators.prefix import running_sums
 
 __all__ = ["borda_points", "borda_ranking"]
 
-#: Buckets of a score for each doubling of its size, by which large groups are counted.
-BUCKETS_A_DOUBLING = 256
-
-#: A group of more rows than this, and than its share of all rows, is large. There are fewer large groups than
-#: ``MOST_LARGE``, however many rows there are.
-GROUP_ROWS = 100_000
-MOST_LARGE = 4096
+#: Rows of one group that are ranked in one task. A group with more is ranked by its values, in ranges of equal size.
+GROUP_ROWS = 1_000_000
 
 
 def _number(score: Column) -> Column:
@@ -30,13 +26,6 @@ def _number(score: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _bucket(x: Column) -> Column:
-    """A whole number that never falls as ``x`` grows, alike for equal ``x``."""
-    size = F.floor(F.log2(F.abs(x)) * BUCKETS_A_DOUBLING) + 2000 * BUCKETS_A_DOUBLING
-    size = F.when(F.abs(x) == float("inf"), F.lit(4000 * BUCKETS_A_DOUBLING)).otherwise(size)
-    return F.when(x == 0, F.lit(0).cast("long")).when(x > 0, size).otherwise(-size).cast("long")
-
-
 def _missing_place(known: Column, unknown: Column, ties: str, missing: str) -> Column:
     if missing == "mid":
         return (known + unknown + 1) / 2.0
@@ -61,16 +50,12 @@ def _small_points(rows: DataFrame, weights: list[float], ties: str, missing: str
 def _places(values: DataFrame, ties: str, missing: str) -> DataFrame:
     """From one row per group and value (null: missing) with its count ``n``: the place of the value.
 
-    The values of a group are split into buckets of neighbouring values: places are the rows in higher
-    buckets, counted once a bucket, plus those of greater value within the bucket.
+    The rows of greater value are a running sum over the values in descending order, however many a group has.
     """
-    there = values.where(F.col("x").isNotNull()).withColumn("b", _bucket(F.col("x")))
-    per_bucket = there.groupBy("g", "b").agg(F.sum("n").alias("nb"))
-    above = Window.partitionBy("g").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    base = per_bucket.select("g", "b", F.coalesce(F.sum("nb").over(above), F.lit(0)).alias("higher"))
-    greater = Window.partitionBy("g", "b").orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    place = (1 + F.col("higher") + F.coalesce(F.sum("n").over(greater), F.lit(0))).cast("double")
-    ranked = there.join(base, ["g", "b"]).select("g", "x", (place + (F.col("n") - 1) / 2 if ties == "average" else place).alias("place"))
+    there = values.where(F.col("x").isNotNull())
+    placed = running_sums(there, "g", [F.col("x").desc()], {"upto": F.col("n")})
+    place = (1 + F.col("upto") - F.col("n")).cast("double")
+    ranked = placed.select("g", "x", (place + (F.col("n") - 1) / 2 if ties == "average" else place).alias("place"))
     absent = F.col("x").isNull()
     total = values.groupBy("g").agg(F.sum(F.when(absent, 0).otherwise(F.col("n"))).alias("known"), F.sum(F.when(absent, F.col("n")).otherwise(0)).alias("unknown"))
     at = _missing_place(F.col("known"), F.col("unknown"), ties, missing)
@@ -79,10 +64,10 @@ def _places(values: DataFrame, ties: str, missing: str) -> DataFrame:
 
 def _large_points(rows: DataFrame, weights: list[float], ties: str, missing: str) -> DataFrame:
     """Points within groups of any size: values are counted, placed by bucket, and joined back."""
-    rows = checkpoint(rows.distinct())
+    rows = stored(rows.distinct())
     out, total = rows, F.lit(0.0)
     for k, weight in enumerate(weights):
-        values = checkpoint(rows.groupBy("g", F.col(f"x{k}").alias("x")).agg(F.count("*").alias("n")))
+        values = stored(rows.groupBy("g", F.col(f"x{k}").alias("x")).agg(F.count("*").alias("n")))
         # Missing values join by a flag and a zero: null-safe equality would not be a hashed join key.
         lookup = _places(values, ties, missing).select(
             F.col("g").alias(f"g{k}"), F.coalesce("x", F.lit(0.0)).alias(f"v{k}"), F.col("x").isNull().alias(f"m{k}"), F.col("place").alias(f"place{k}")
@@ -101,12 +86,10 @@ def _parts(df: DataFrame, group: str, item: str, scores: dict[str, float], ties:
     rows = df.select(col(group).alias("g"), col(item).alias("i"), *[_number(col(s)).alias(f"x{k}") for k, s in enumerate(scores)])
     rows = rows.where(F.col("g").isNotNull() & F.col("i").isNotNull())
     weights = [float(x) for x in scores.values()]
-    most = max(GROUP_ROWS, rows.count() / MOST_LARGE)
-    large = [r["g"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > most).select("g").toLocalIterator()]
-    if not large:
+    large = stored(rows.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > GROUP_ROWS).select("g"))
+    if large.isEmpty():
         return _small_points(rows, weights, ties, missing), None
-    is_large = F.col("g").isin(large)
-    return _small_points(rows.where(~is_large), weights, ties, missing), _large_points(rows.where(is_large), weights, ties, missing)
+    return _small_points(rows.join(large, "g", "left_anti"), weights, ties, missing), _large_points(rows.join(large, "g", "left_semi"), weights, ties, missing)
 
 
 def borda_points(
@@ -126,9 +109,9 @@ def borda_points(
     infinity as a number. Rows that agree in group, item and scores count once; further columns are
     ignored. A null group or item takes no part, and an empty input gives an empty result.
 
-    Groups up to ``GROUP_ROWS`` rows, or a ``MOST_LARGE``-th of all rows, are ranked as they are, by one shuffle. No
-    larger one is gathered into one task: its values are counted first, then placed bucket by bucket; the
-    places are joined back, where Spark splits the partitions of very frequent values.
+    Groups up to ``GROUP_ROWS`` rows are ranked as they are, by one shuffle. No larger one is gathered into one task:
+    its values are counted first, and placed in ranges of equal size; the places are joined back, where Spark splits the
+    partitions of very frequent values.
     """
     small, large = _parts(df, group, item, scores, ties, missing)
     both = small if large is None else small.unionByName(large)
