@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -82,3 +83,20 @@ def test_empty_tables_and_parameters(spark):
     assert search(spark, [(1, "z a b c")], [("i", "a b d c")], passage_words=3, shingle_words=3) == []
     with pytest.raises(ValueError):
         search(spark, [], [], passage_words=3)
+
+
+def test_map_of_minima_knows_all_and_documents_are_read_once(spark):
+    from weftline.llm.containment import _Listed, _Mapped
+
+    rng = random.Random(5)
+    minima = [rng.getrandbits(64) - 2**63 for _ in range(3000)]
+    asked = np.array(minima + [rng.getrandbits(64) - 2**63 for _ in range(3000)], np.int64).view(np.uint64)
+    df = spark.createDataFrame([(m,) for m in minima], "minimum long")
+    for bits in (64, 1 << 16):
+        assert _Mapped(df, bits).has(asked)[:3000].all()
+    assert _Mapped(df, 1 << 16).has(asked)[3000:].mean() < 0.1
+    assert _Listed(asked[:3000]).has(asked).tolist() == [True] * 3000 + [False] * 3000
+    words = [f"w{k}" for k in range(200)]
+    documents = [(k, " ".join(rng.choices(words, k=5) + words[k : k + 13] + rng.choices(words, k=5))) for k in range(40)]
+    items = [(k, " ".join(words[3 * k : 3 * k + 15])) for k in range(20)]
+    assert search(spark, documents, items, block_minima=0, map_bits=128) == search(spark, documents, items)

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from collections import deque
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.columns import col, require
+from weftline.columns import col, require, stored
 
-__all__ = ["leaked_items", "PASSAGE_WORDS", "SHINGLE_WORDS", "BLOCK_MINIMA"]
+__all__ = ["leaked_items", "PASSAGE_WORDS", "SHINGLE_WORDS", "BLOCK_MINIMA", "MAP_BITS"]
 
 PASSAGE_WORDS = 12
 SHINGLE_WORDS = 5
 
-#: Minima of items that are broadcast at a time (32 MiB). More items are searched in blocks.
+#: Minima of items that are broadcast as they are (32 MiB). Those of more items set bits in a map of fixed size (32 MiB).
 BLOCK_MINIMA = 1 << 22
+MAP_BITS = 1 << 28
 
 #: Characters that are worked on together. A longer text is cut between words, with the words before each cut again.
 PIECE_CHARACTERS = 4_000_000
@@ -101,12 +101,38 @@ class _Passages:
         return " ".join(self.words[c] for c in self.codes[at : at + length])
 
 
+class _Listed:
+    """Some minima, sorted."""
+
+    def __init__(self, minima: np.ndarray):
+        self.minima = np.sort(minima)
+
+    def has(self, asked: np.ndarray) -> np.ndarray:
+        if not len(self.minima):
+            return np.zeros(len(asked), bool)
+        return self.minima[np.minimum(np.searchsorted(self.minima, asked), len(self.minima) - 1)] == asked
+
+
+class _Mapped:
+    """Any number of minima, as bits of a map: it knows all of them, and few or many others."""
+
+    def __init__(self, minima: DataFrame, bits: int):
+        at = F.col("minimum").bitwiseAND(F.lit(bits - 1))
+        set_ = minima.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
+        self.words = np.zeros(bits // 64, np.uint64)
+        self.words[set_["word"].to_numpy()] = set_["bits"].to_numpy().view(np.uint64)
+
+    def has(self, asked: np.ndarray) -> np.ndarray:
+        p = asked & np.uint64(64 * len(self.words) - 1)
+        return (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _schema(df: DataFrame, key: str) -> T.StructType:
     return T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("passage", T.StringType()), T.StructField("minimum", T.LongType())])
 
 
 def _rows(df: DataFrame, key: str, text: str, length: int, shingle: int, wanted=None) -> DataFrame:
-    """``(key, passage, minimum)``: all passages, or those whose minimum is in the broadcast ``wanted``."""
+    """``(key, passage, minimum)``: all passages, or those whose minimum may be among the broadcast ``wanted`` ones."""
 
     def find(batches):
         for b in batches:
@@ -114,9 +140,7 @@ def _rows(df: DataFrame, key: str, text: str, length: int, shingle: int, wanted=
                 p = _Passages(texts, length, shingle)
                 at, minima = p.at, p.minima
                 if wanted is not None and len(at):
-                    known = wanted.value
-                    k = np.minimum(np.searchsorted(known, minima), len(known) - 1)
-                    hit = known[k] == minima
+                    hit = wanted.value.has(minima)
                     at, minima = at[hit], minima[hit]
                 seen = {}
                 for a, m in zip(at.tolist(), minima.view(np.int64).tolist()):
@@ -141,6 +165,7 @@ def leaked_items(
     passage_words: int = PASSAGE_WORDS,
     shingle_words: int = SHINGLE_WORDS,
     block_minima: int = BLOCK_MINIMA,
+    map_bits: int = MAP_BITS,
 ) -> DataFrame:
     """``(document_id, item_id)``: each pair whose texts share ``passage_words`` consecutive words.
 
@@ -149,28 +174,20 @@ def leaked_items(
     repeated rows give a pair once; null identifiers are kept as they are; further columns are ignored,
     and an empty table gives an empty result.
 
-    The items' minima are broadcast in blocks of about ``block_minima`` (items are spread over blocks by
-    hash), each of which reads the documents once: the items may be any number.
+    Documents are read once, however many items there are. Up to ``block_minima`` minima of the items are broadcast as a
+    list; of more, a map of fixed size is, which lets further passages through to the exact join on passages.
     """
     require(documents, document_id, document_text)
     require(items, item_id, item_text)
     if not 0 < shingle_words <= passage_words:
         raise ValueError("a passage is at least as long as a shingle")
     spark = documents.sparkSession
-    passages = _rows(items, item_id, item_text, passage_words, shingle_words)
-    blocks = max(1, ceil(passages.count() / block_minima))
-    of_block = F.pmod(F.xxhash64("passage"), F.lit(blocks))
-    out = None
-    for k in range(blocks):
-        mine = passages.where(of_block == k) if blocks > 1 else passages
-        minima = mine.select("minimum").distinct().toArrow().column(0).to_numpy().view(np.uint64)
-        if not len(minima):
-            continue
-        hits = _rows(documents, document_id, document_text, passage_words, shingle_words, spark.sparkContext.broadcast(np.sort(minima)))
-        proven = hits.select(F.col("key").alias(document_id), "passage").join(mine.select(F.col("key").alias("__item"), "passage").distinct(), "passage")
-        found = proven.select(col(document_id), F.col("__item").alias(item_id))
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        kinds = T.StructType([T.StructField(document_id, documents.schema[document_id].dataType), T.StructField(item_id, items.schema[item_id].dataType)])
-        return spark.createDataFrame([], kinds)
-    return out.distinct()
+    passages = stored(_rows(items, item_id, item_text, passage_words, shingle_words))
+    minima = passages.select("minimum").distinct()
+    if minima.count() <= block_minima:
+        wanted = _Listed(minima.toArrow().column(0).to_numpy().view(np.uint64))
+    else:
+        wanted = _Mapped(minima, map_bits)
+    hits = _rows(documents, document_id, document_text, passage_words, shingle_words, spark.sparkContext.broadcast(wanted))
+    proven = hits.select(F.col("key").alias(document_id), "passage").join(passages.select(F.col("key").alias("__item"), "passage").distinct(), "passage")
+    return proven.select(col(document_id), F.col("__item").alias(item_id)).distinct()
