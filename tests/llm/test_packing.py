@@ -118,3 +118,10 @@ def test_token_counts(spark):
     for k, t in enumerate(texts):
         if t:
             assert counts[k] == len(other.encode(t, add_special_tokens=False).ids)
+
+
+def test_rows_without_identifier_are_spread(spark):
+    """One identifier, or none, on most rows is no single packer's work."""
+    df = spark.createDataFrame([(None, 7)] * 900 + [(5, 3)] * 100, "id int, n int").repartition(8)
+    placed = pack(df, "id", "n", 20, shard_items=100).groupBy("shard").count().collect()
+    assert len(placed) > 3 and sum(r["count"] for r in placed) == 1000

@@ -104,10 +104,11 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, *, n_items: int
     ``shard`` and ``window``. Repeated identifiers are packed each for itself; further columns are
     ignored; an empty input gives an empty result.
 
-    Items are spread by the hash of their identifier over packers of about ``shard_items``, whatever the
-    size of the input, so a packer's time and memory stay the same as data grows. Within a packer items
-    come in order of that hash: the same input gives the same windows. ``n_items`` is the number of
-    items where it is known more cheaply than by counting ``items``, which may have to be computed.
+    Items are spread over packers of about ``shard_items``, whatever the size of the input, so a packer's time and memory
+    stay the same as data grows: by the hash of identifier, size and split of the input, so that rows of one identifier, or
+    of none, are spread as well. Within a packer items come in order of identifier and size by hash: the same input in the same splits
+    gives the same windows. ``n_items`` is the number of items where it is known more cheaply than by counting ``items``,
+    which may have to be computed.
     """
     require(items, item, size)
     if capacity < 1:
@@ -117,8 +118,9 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, *, n_items: int
     sized = items.select(
         col(item).alias("item"),
         F.greatest(F.coalesce(col(size).cast("long"), F.lit(0)), F.lit(0)).alias("n"),
-        F.xxhash64(col(item)).alias("h"),
-    ).withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+        F.spark_partition_id().alias("split"),
+    )
+    sized = sized.select("item", "n", F.xxhash64("item", "n").alias("h"), F.pmod(F.xxhash64("item", "n", "split"), F.lit(shards)).cast("int").alias("shard"))
     schema = T.StructType(
         [T.StructField("item", kind), T.StructField("piece", T.LongType()), T.StructField("n_tokens", T.LongType())]
         + [T.StructField("shard", T.IntegerType()), T.StructField("window", T.LongType()), T.StructField("starts_at", T.LongType())]
