@@ -96,7 +96,6 @@ def brute_points(rows, weights, ties, missing):
 @pytest.mark.parametrize("large", [100_000, 60, 0])
 def test_borda_against_brute_force(spark, monkeypatch, ties, missing, large):
     monkeypatch.setattr(borda, "GROUP_ROWS", large)
-    monkeypatch.setattr(borda, "MOST_LARGE", 10**9)
     rng = random.Random(3)
     pool = [None, float("nan"), 0.0, -0.0, 1e-300, 5e-324, -1e-9, 1.0, math.nextafter(1.0, 2), 1e300, float("inf"), float("-inf"), -7.0]
     rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), k, rng.choice([*pool, rng.gauss(0, 1)]), rng.choice([None, 0, 0, 0, 1, 2, rng.randrange(10**9)])) for k in range(300)]
@@ -108,7 +107,6 @@ def test_borda_against_brute_force(spark, monkeypatch, ties, missing, large):
 @pytest.mark.parametrize("large", [100_000, 0])
 def test_borda_ranking(spark, monkeypatch, large):
     monkeypatch.setattr(borda, "GROUP_ROWS", large)
-    monkeypatch.setattr(borda, "MOST_LARGE", 10**9)
     rows = [("g", 1, 1000.0, 1), ("g", 2, 10.0, 2), ("g", 3, 900.0, 3), ("g", 4, 1000.0, 1), ("h", 9, None, None)]
     ranked = borda_ranking(scored(spark, rows), "g", "i", {"a": 1.0, "b": 1.0}, 2)
     assert ranked.columns == ["g", "i", "points", "rank"]
@@ -116,3 +114,13 @@ def test_borda_ranking(spark, monkeypatch, large):
     assert borda_ranking(scored(spark, []), "g", "i", {"a": 1.0}, 2).count() == 0
     with pytest.raises(ValueError):
         borda_points(scored(spark, rows), "g", "i", {"a": 1.0}, ties="other")
+
+
+def test_copies_share_a_place_and_are_pruned_before_the_shuffle(spark):
+    """Deliveries of one item tie in every ranking, however many there are, and no merge comes ahead of the pruning."""
+    rows = [("a", k % 3, 1.0 * (k % 3)) for k in range(3000)] + [("b", 7, None)] * 5
+    df = spark.createDataFrame(rows, "g string, id int, score double").repartition(6)
+    top = top_n_per_group(df, "g", [("score", "desc"), ("id", "asc")], 2, same=["id", "score"], rank="place")
+    plan = top._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("WindowGroupLimit") >= 3
+    assert sorted(map(tuple, top.collect()), key=str) == [("a", 1, 1.0, 2), ("a", 2, 2.0, 1), ("b", 7, None, 1)]

@@ -1,8 +1,9 @@
 """Top N items within every group.
 
 Method: two-stage salted ranking. Each group is hashed into subgroups; every subgroup is ranked and
-keeps N; the survivors are ranked by score and identifier. Spark prunes each ranking to N rows a
-subgroup before its shuffle too, so a group with millions of items is no single task's work.
+keeps N; the survivors are ranked by score and identifier. A subgroup is what a group has in one split of the input,
+so no task works on more of it than a split holds. Spark prunes each ranking to N rows a subgroup before
+its shuffle too, so a group with millions of items is no single task's work.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from weftline.columns import col, fresh, require
 
 __all__ = ["top_n_per_group", "SUBGROUPS"]
 
-SUBGROUPS = 64
+#: Subgroups that a group's splits are hashed into: one a split, for any number of splits that occurs.
+SUBGROUPS = 1 << 20
 
 
 def _ordering(order: list[tuple[str, str]]) -> list[Column]:
@@ -39,10 +41,10 @@ def top_n_per_group(
     A group of fewer rows comes out whole. ``order`` ends with an identifier, so that the choice is the
     same on every run; nulls come last in either direction. Rows with a null group key belong to no
     group. With ``same``, rows that agree in the group and these columns are one item, delivered
-    repeatedly, and count once: they are merged ahead of the ranking (partly before the shuffle), and
-    the result has the group and these columns only, which must hold all columns of ``order``. Without
-    ``same`` all columns are kept, whatever their names. ``rank`` names a column for the place, from 1.
-    ``n`` of 0 and an empty input give an empty result.
+    repeatedly, and count once: they share a place in the rankings, so that pruning needs no merging before it, and are
+    merged among the survivors. The result then has the group and these columns only, which must hold all columns
+    of ``order``. Without ``same`` all columns are kept, whatever their names. ``rank`` names a column for the
+    place, from 1. ``n`` of 0 and an empty input give an empty result.
     """
     groups = [group] if isinstance(group, str) else list(group)
     require(df, *groups, *[c for c, _ in order], *(same or []))
@@ -51,15 +53,21 @@ def top_n_per_group(
     rows = df
     for g in groups:
         rows = rows.where(col(g).isNotNull())
+    by = _ordering(order)
     if same is not None:
         kept = list(dict.fromkeys([*groups, *same]))
         if missing := [c for c, _ in order if c not in kept]:
             raise ValueError(f"order has {missing}, which are not in same")
-        rows = rows.select(*[col(c) for c in kept]).distinct()
+        rows = rows.select(*[col(c) for c in kept])
+        ordered = {c for c, _ in order}
+        by += [col(c).asc_nulls_last() for c in kept if c not in ordered and c not in groups]  # so that none but copies tie
     salt, place, final = fresh(rows.columns, "salt", "place", "final")
-    keys, by = [col(g) for g in groups], _ordering(order)
-    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*[col(c) for c, _ in order]), F.lit(subgroups)))
-    within = salted.withColumn(place, F.row_number().over(Window.partitionBy(*keys, col(salt)).orderBy(*by)))
-    survivors = within.where(col(place) <= n).drop(salt, place)
-    ranked = survivors.withColumn(final, F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(col(final) <= n)
+    keys = [col(g) for g in groups]
+    ranking = F.row_number if same is None else F.dense_rank
+    once = (lambda df: df) if same is None else DataFrame.distinct  # where all copies already are: no shuffle
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(subgroups)))
+    within = salted.withColumn(place, ranking().over(Window.partitionBy(*keys, col(salt)).orderBy(*by)))
+    survivors = once(within.where(col(place) <= n).drop(place)).drop(salt)
+    ranked = survivors.withColumn(final, ranking().over(Window.partitionBy(*keys).orderBy(*by))).where(col(final) <= n)
+    ranked = once(ranked)
     return ranked.withColumnRenamed(final, rank) if rank else ranked.drop(final)
