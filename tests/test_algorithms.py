@@ -147,7 +147,7 @@ def test_distributed_loops_against_brute_force(spark, distributed):
     check_all(edges)
     close(values(w.betweenness(w.from_edgelist(edges), weight=w.col("weight"))), brute_betweenness(edges, True))
     with pytest.raises(w.ComputeError):
-        w.betweenness(w.from_edgelist(edges), weight=w.lit(0)).collect()
+        w.betweenness(w.from_edgelist([(0, 1, 0), (1, 0, 0)]), weight=w.col("weight")).collect()
 
 
 def test_distributed_pagerank_with_hubs(spark, distributed, monkeypatch):
@@ -353,6 +353,110 @@ def test_layout_changes_nothing(spark):
     assert results[0][1:] == results[1][1:]
 
 
+def on_both_sides(spark, compute):
+    found = []
+    for limit in ("4000000", "0"):
+        spark.conf.set("weftline.kernel.edges", limit)
+        try:
+            found.append(compute())
+        finally:
+            spark.conf.unset("weftline.kernel.edges")
+    return found
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_one_result_on_both_sides_of_the_size_bound(spark, named):
+    """Whatever is drawn or tied comes out alike in one task and by joins, and in any layout of the rows."""
+    rows = random_graph(11, n=24, m=90)
+    name = (lambda k: f"é{k}") if named else (lambda k: k - 5)
+    table = [{"src": name(a), "dst": name(b), "weight": x / 3} for a, b, x in rows]
+    df = w.EdgeFrame(table, src="src", dst="dst").to_spark()
+    start = spark.createDataFrame([(name(k),) for k in (7, 3, 3, 11)], f"id {'string' if named else 'bigint'}")
+
+    def all_of_it(parts):
+        e = w.from_spark(df.repartition(parts), src="src", dst="dst")
+        seeds = w.NodeFrame(start.repartition(parts), id="id")
+        weight = w.col("weight")
+        walks = sorted(tuple(r.values()) for r in w.random_walk(e, seeds, 6, walks_per_node=3, seed=5).to_dicts())
+        return (
+            values(w.label_propagation(e, seed=2)), values(w.louvain(e, weight=weight if named else None, resolution=1.3, seed=4)), walks,
+            [tuple(r.values()) for r in w.shortest_path(e, name(0), name(9)).to_dicts()],
+        )
+
+    found = on_both_sides(spark, lambda: all_of_it(3))
+    assert found[0] == found[1]
+    assert found[0] == all_of_it(1) == all_of_it(7)
+    assert min(found[0][1].values()) == 0 and len(set(found[0][1].values())) == max(found[0][1].values()) + 1
+    assert len(found[0][2]) > 12
+
+
+def test_draws_are_the_same_in_arrays_and_columns(spark):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from weftline.operators.draws import draw, draw_column, id_number_column, id_numbers
+
+    numbers = [0, 1, -1, 2**62, -(2**63), 2**63 - 1, 12345678901234]
+    for seed, step in ((0, 0), (5, 3), (-7, 2**40), (0x5EED5EED5EED5EED, 9)):
+        df = spark.createDataFrame([(x,) for x in numbers], "x bigint")
+        got = [r[0] for r in df.select(draw_column(seed, F.col("x"), step)).collect()]
+        assert got == draw(seed, np.array(numbers), step).tolist() and all(0 <= x < 2**62 for x in got)
+    names = ["", "a", "é", "x" * 100, "Ω b"]
+    got = spark.createDataFrame([(x,) for x in names], "x string").select(id_number_column("x", "string")).collect()
+    assert [r[0] for r in got] == id_numbers(pa.array(names)).tolist()
+    many = draw(3, np.arange(20000), 1)
+    assert abs((many & 1).mean() - 0.5) < 0.02 and abs((many % 7 == 3).mean() - 1 / 7) < 0.02 and abs(((many >> 61) & 1).mean() - 0.5) < 0.02
+
+
+def test_weights_of_zero(spark):
+    """They count on cheapest paths, in one task and by joins; in circles they are an error."""
+    edges = [(0, 2, 0.0), (0, 1, 0.0), (1, 2, 0.0), (2, 3, 1.0), (1, 3, 1.0), (3, 4, 0.0)]
+    for found in on_both_sides(spark, lambda: values(w.betweenness(w.from_edgelist(edges), weight=w.col("weight")))):
+        close(found, brute_betweenness(edges, True))
+    circle = [(0, 1, 0.0), (1, 0, 0.0), (1, 2, 1.0)]
+    for limit in ("4000000", "0"):
+        spark.conf.set("weftline.kernel.edges", limit)
+        try:
+            with pytest.raises(Exception, match="circles"):
+                w.betweenness(w.from_edgelist(circle), weight=w.col("weight")).collect().to_arrow()
+        finally:
+            spark.conf.unset("weftline.kernel.edges")
+
+
+def test_long_names_count_for_the_size_bound(spark):
+    e = w.from_edgelist([("x" * 1000, "y" * 1000)] * 50)
+    assert e.topology().small
+    spark.conf.set("weftline.kernel.bytes", "50000")
+    try:
+        assert not w.from_edgelist([("x" * 1000, "y" * 1000)] * 50).topology().small
+    finally:
+        spark.conf.unset("weftline.kernel.bytes")
+
+
+def test_betweenness_of_many_sources_together():
+    import numpy as np
+
+    from weftline.operators import kernels as K
+
+    for seed, n, m in ((1, 40, 90), (2, 40, 500), (3, 200, 150)):
+        rng = np.random.default_rng(seed)
+        s, d = rng.integers(0, n, m), rng.integers(0, n, m)
+        x = rng.integers(1, 4, m).astype(float)
+        g = K.Csr(n, s, d, x)
+        want, weighted = brute_betweenness([(int(a), int(b), 1) for a, b in zip(s, d)] if m < 200 else [], False), None
+        totals = []
+        for size in (1, 8, 64):
+            plain, heavy = np.zeros(n), np.zeros(n)
+            for k in range(0, n, size):
+                K.brandes(g, np.arange(k, min(n, k + size)), plain)
+                K.brandes_weighted(g, np.arange(k, min(n, k + size)), heavy)
+            totals.append((plain, heavy))
+            assert np.allclose(plain, totals[0][0]) and np.allclose(heavy, totals[0][1])
+        for v, b in want.items():
+            assert totals[0][0][v] == pytest.approx(b)
+
+
 def test_no_edges(spark):
     e = w.EdgeFrame({"src": [], "dst": []}, src="src", dst="dst")
     for expr in (w.pagerank(e), w.connected_components(e), w.connected_components(e, mode="strong"), w.triangle_count(e), w.closeness(e), w.betweenness(e), w.louvain(e), w.degree(e), w.label_propagation(e)):

@@ -6,12 +6,24 @@ They run inside a task (``whole_graph``) or over sources spread across tasks wit
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
+from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 
-__all__ = ["Csr", "pagerank", "weak_roots", "strong_roots", "triangles", "distances", "dijkstra", "brandes", "brandes_weighted", "label_propagation", "louvain"]
+from weftline.errors import ComputeError
+from weftline.operators.draws import draw
+
+__all__ = ["Csr", "pagerank", "weak_roots", "strong_roots", "triangles", "degree_pairs", "distances", "cheapest", "brandes", "brandes_weighted", "batches", "label_propagation", "louvain", "scaled", "SETTLED", "SWEEPS", "LEVELS"]
+
+#: Numbers of the arrays that sources worked on together have, about: they stay within a core's cache.
+BATCH_NUMBERS = 1 << 16
+
+#: A level of Louvain is done once no more than this share of its nodes moves in a half-sweep, or after so many; and
+#: there are so many levels at most.
+SETTLED = 0.005
+SWEEPS = 16
+LEVELS = 12
 
 
 class Csr:
@@ -146,6 +158,12 @@ def triangles(n: int, a: np.ndarray, b: np.ndarray, chunk: int = 2_000_000) -> n
     return count
 
 
+def degree_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Pairs of neighbours of each node of a simple undirected graph given once by edge."""
+    k = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    return k * (k - 1) // 2
+
+
 def distances(back: Csr, sources: np.ndarray) -> list[np.ndarray]:
     """How many nodes are first reached at distance 1, 2, ... from each of up to 64 sources at once.
 
@@ -172,172 +190,217 @@ def distances(back: Csr, sources: np.ndarray) -> list[np.ndarray]:
         front = new
 
 
-def dijkstra(graph: Csr, source: int) -> dict[int, float]:
-    start, dst, w = graph.start, graph.dst, graph.w
-    done: dict[int, float] = {}
-    heap = [(0.0, source)]
-    while heap:
-        d, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done[v] = d
-        for s in range(start[v], start[v + 1]):
-            if (u := int(dst[s])) not in done:
-                heapq.heappush(heap, (d + float(w[s]), u))
-    return done
+def batches(at: np.ndarray, numbers: int) -> Iterator[np.ndarray]:
+    """The sources, so many at a time that arrays of ``numbers`` for each stay small."""
+    size = 1 << max(0, (BATCH_NUMBERS // max(1, numbers)).bit_length() - 1)
+    return (at[k : k + size] for k in range(0, len(at), size))
 
 
-def brandes(graph: Csr, source: int, total: np.ndarray) -> None:
-    """Add the dependencies of one source: level by level out, then back. Parallel edges are paths of their own.
+def cheapest(graph: Csr, at: np.ndarray) -> np.ndarray:
+    """Least costs, a row a node and a column a source, infinite where no path leads.
 
-    An edge from the newest level to a node not seen before it lies on a shortest path. On the way back each node
-    passes on ``(1 + dependency) / paths``, which its predecessors sum.
+    They are relaxed from the nodes that came nearer last, for all sources together.
     """
-    n = graph.n
-    seen = np.zeros(n, bool)
-    sigma, gathered, passed = np.zeros(n), np.zeros(n), np.zeros(n)
-    front = np.array([source])
-    seen[source], sigma[source] = True, 1.0
-    levels = []
-    while True:
-        slots = graph.out_slots(front)
-        to = graph.dst[slots]
-        fresh = ~seen[to]
-        slots, to = slots[fresh], to[fresh]
+    bits = max(0, len(at) - 1).bit_length()
+    width, out = 1 << bits, graph.start[1:] - graph.start[:-1]
+    cost = np.full(graph.n << bits, np.inf)
+    front = (at << bits) | np.arange(len(at))
+    cost[front] = 0.0
+    while len(front):
+        nodes = front >> bits
+        slots, size = graph.out_slots(nodes), out[nodes]
+        to = (graph.dst[slots] << bits) | np.repeat(front & (width - 1), size)
+        offer = np.repeat(cost[front], size) + graph.w[slots]
+        nearer = offer < cost[to]
+        to = to[nearer]
+        np.minimum.at(cost, to, offer[nearer])
+        front = np.unique(to)
+    return cost.reshape(graph.n, width)
+
+
+def brandes(graph: Csr, at: np.ndarray, total: np.ndarray) -> None:
+    """Add the dependencies of some sources: level by level out, then back. Parallel edges are paths of their own.
+
+    All sources advance together: a number for each node and source is at ``node << bits | source``. Few edges out of the
+    newest nodes are followed one by one; otherwise the edges into a new level are those that lead from the
+    newest nodes to ones not yet reached, found for all edges and sources at once. On the way back each node passes on
+    ``(1 + dependency) / paths``, which its predecessors sum.
+    """
+    bits = max(0, len(at) - 1).bit_length()
+    width, out = 1 << bits, graph.start[1:] - graph.start[:-1]
+    size = graph.n << bits
+    sources = (at << bits) | np.arange(len(at))
+    unseen, newest, sigma = np.ones(size, bool), np.zeros(size, bool), np.zeros(size)
+    front, steps, left = sources, [], (graph.n - 1) * len(at)
+    unseen[front], sigma[front] = False, 1.0
+    while left:
+        nodes = front >> bits
+        if 8 * int(out[nodes].sum()) < len(graph.src) << bits:
+            slots = graph.out_slots(nodes)
+            origin = np.repeat(front, out[nodes])
+            to = (graph.dst[slots] << bits) | (origin & (width - 1))
+            fresh = unseen[to]
+            origin, to = origin[fresh], to[fresh]
+        else:
+            newest[front] = True
+            hit = newest.reshape(-1, width)[graph.src]
+            hit &= unseen.reshape(-1, width)[graph.dst]
+            newest[front] = False
+            at_edge = np.flatnonzero(hit)
+            slots, source = at_edge >> bits, at_edge & (width - 1)
+            origin, to = (graph.src[slots] << bits) | source, (graph.dst[slots] << bits) | source
         if not len(to):
             break
-        origin = graph.src[slots]
-        if 8 * len(to) > n:
-            before = seen.copy()
-            seen[to] = True
-            after = np.flatnonzero(seen & ~before)
-            sigma += np.bincount(to, weights=sigma[origin], minlength=n)
+        unseen[to] = False
+        if 8 * len(to) > size:
+            gained = np.bincount(to, weights=sigma[origin], minlength=size)
+            front = np.flatnonzero(gained)
+            sigma += gained
         else:
-            seen[to] = True
-            after = np.unique(to)
             np.add.at(sigma, to, sigma[origin])
-        levels.append((front, origin, to, after))
-        front = after
-    for front, origin, to, after in reversed(levels):
-        passed[after] = gathered[after] + 1 / sigma[after]
-        if 8 * len(to) > n:
-            gathered += np.bincount(origin, weights=passed[to], minlength=n)
+            front = np.unique(to)
+        left -= len(front)
+        steps.append((origin, to))
+    _passed_back(steps, sigma, sources, total, bits)
+
+
+def _passed_back(steps: list, sigma: np.ndarray, sources: np.ndarray, total: np.ndarray, bits: int) -> None:
+    gathered = np.zeros(len(sigma))
+    shares = np.divide(1.0, sigma, out=np.zeros(len(sigma)), where=sigma > 0)
+    for origin, to in reversed(steps):
+        if 8 * len(to) > len(sigma):
+            gathered += np.bincount(origin, weights=(gathered + shares)[to], minlength=len(sigma))
         else:
-            np.add.at(gathered, origin, passed[to])
-    gathered[source] = 0
-    total += gathered * sigma
-
-
-def brandes_weighted(graph: Csr, source: int, total: np.ndarray) -> None:
-    start, dst, w = graph.start, graph.dst, graph.w
-    dist, sigma, parents = {source: 0.0}, defaultdict(float), defaultdict(list)
-    sigma[source] = 1.0
-    heap, done, order = [(0.0, source)], set(), []
-    while heap:
-        d, v = heapq.heappop(heap)
-        if v in done:
-            continue
-        done.add(v)
-        order.append(v)
-        for s in range(start[v], start[v + 1]):
-            u, far = int(dst[s]), d + float(w[s])
-            if u in done:
-                continue
-            known = dist.get(u)
-            if known is None or far < known:
-                dist[u], sigma[u], parents[u] = far, sigma[v], [v]
-                heapq.heappush(heap, (far, u))
-            elif far == known:
-                sigma[u] += sigma[v]
-                parents[u].append(v)
-    delta = defaultdict(float)
-    for u in reversed(order):
-        for v in parents[u]:
-            delta[v] += sigma[v] / sigma[u] * (1 + delta[u])
-        if u != source:
-            total[u] += delta[u]
-
-
-def label_propagation(graph: Csr, back: Csr, max_iter: int, seed: int) -> np.ndarray:
-    """Asynchronous sweeps in a seeded order; votes come over edges of both directions, ties to the least label."""
-    label = list(range(graph.n))
-    around = [np.concatenate((graph.dst[graph.start[v] : graph.start[v + 1]], back.dst[back.start[v] : back.start[v + 1]])).tolist() for v in range(graph.n)]
-    order = np.random.default_rng(seed).permutation(graph.n).tolist()
-    for _ in range(max_iter):
-        changed = False
-        for v in order:
-            if not around[v]:
-                continue
-            votes: dict[int, int] = {}
-            for u in around[v]:
-                votes[label[u]] = votes.get(label[u], 0) + 1
-            most = max(votes.values())
-            best = min(k for k, c in votes.items() if c == most)
-            if best != label[v]:
-                label[v], changed = best, True
+            np.add.at(gathered, origin, gathered[to] + shares[to])
+    gathered[sources] = 0
+    total += (gathered * sigma).reshape(len(total), 1 << bits).sum(axis=1)
+
+
+def brandes_weighted(graph: Csr, at: np.ndarray, total: np.ndarray) -> None:
+    """As :func:`brandes`, along edges that lie on cheapest paths, each node once all edges into it have been taken.
+
+    Edges of weight 0 count like others; in circles of them paths cannot be counted, which is an error.
+    """
+    bits = max(0, len(at) - 1).bit_length()
+    sources = (at << bits) | np.arange(len(at))
+    cost = cheapest(graph, at)
+    slots, source = np.nonzero(np.isfinite(cost[graph.src]) & (cost[graph.src] + graph.w[:, None] == cost[graph.dst]) & (graph.src != graph.dst)[:, None])
+    some = Csr(graph.n << bits, (graph.src[slots] << bits) | source, (graph.dst[slots] << bits) | source)
+    waits = np.bincount(some.dst, minlength=some.n)
+    sigma, steps, taken = np.zeros(some.n), [], 0
+    sigma[sources] = 1.0
+    front = sources[waits[sources] == 0]
+    while len(front):
+        found = some.out_slots(front)
+        origin, to = some.src[found], some.dst[found]
+        np.add.at(sigma, to, sigma[origin])
+        np.subtract.at(waits, to, 1)
+        steps.append((origin, to))
+        taken += len(to)
+        front = np.unique(to[waits[to] == 0])
+    if taken < len(some.dst):
+        raise ComputeError(ZERO_CIRCLE)
+    _passed_back(steps, sigma, sources, total, bits)
+
+
+ZERO_CIRCLE = "shortest paths cannot be counted where edges of weight 0 run in circles"
+
+
+def label_propagation(n: int, src: np.ndarray, dst: np.ndarray, numbers: np.ndarray, max_iter: int, seed: int) -> np.ndarray:
+    """Majority votes over edges of both directions in seeded half-sweeps; ties go to the least label."""
+    label = np.arange(n)
+    pair, times = np.unique(np.concatenate((src * n + dst, dst * n + src)), return_counts=True)
+    a, b = pair // n, pair % n
+    for sweep in range(max_iter):
+        coin, changed = draw(seed, numbers, sweep) & 1, False
+        for half in (0, 1):
+            vote, at = np.unique(a * n + label[b], return_inverse=True)
+            votes = np.bincount(at, weights=times, minlength=len(vote))
+            who, what = vote // n, vote % n
+            start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]]) if len(who) else np.zeros(0, np.int64)
+            most = np.repeat(np.maximum.reduceat(votes, start), np.diff(np.r_[start, len(who)])) if len(who) else votes
+            best = np.minimum.reduceat(np.where(votes == most, what, n), start) if len(who) else what
+            new = label.copy()
+            voter = who[start]
+            turn = coin[voter] == half
+            new[voter[turn]] = best[turn]
+            changed |= bool((new != label).any())
+            label = new
         if not changed:
             break
-    return np.array(label, np.int64)
+    return label
 
 
-def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Modularity by local moves and aggregation. Communities are numbered from 0 by first member."""
-    rng = np.random.default_rng(seed)
+def scaled(total: float) -> float:
+    """The power of two by which weights of this sum become whole numbers whose sums are exact in any order."""
+    return 2.0 ** (50 - ceil(log2(total)))
+
+
+def louvain(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, numbers: np.ndarray, resolution: float, seed: int) -> np.ndarray:
+    """Modularity by half-sweeps of synchronous moves and aggregation. Communities are numbered from 0 by first member."""
     member = np.arange(n)
-    low, high = np.minimum(src, dst), np.maximum(src, dst)
-    while True:
-        size = int(member.max()) + 1 if len(member) else 0
-        pair, at = np.unique(low * size + high, return_inverse=True)
-        weight = np.bincount(at, weights=w, minlength=len(pair))
-        low, high, w = pair // size, pair % size, weight
-        loop = np.zeros(size)
+    weight = float(w.sum()) if len(w) else 0.0
+    if weight <= 0:
+        return member
+    scale = scaled(weight)
+    low, high, w = np.minimum(src, dst), np.maximum(src, dst), np.rint(w * scale)
+    total = 2.0 * w.sum()
+    for level in range(LEVELS):
+        there = np.unique(np.concatenate((low, high)))
+        place = np.full(n, -1)
+        place[there] = np.arange(len(there))
+        pair, at = np.unique(place[low] * len(there) + place[high], return_inverse=True)
+        w = np.bincount(at, weights=w, minlength=len(pair))
+        low, high = pair // len(there), pair % len(there)
         own = low == high
-        loop[low[own]] = w[own]
         a, b, x = low[~own], high[~own], w[~own]
-        g = Csr(size, np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((x, x)))
-        degree = np.bincount(g.src, weights=g.w, minlength=size) + 2 * loop
-        total = degree.sum()
-        community, moved = _local_moves(g, degree, total, resolution, rng)
-        _, community = _numbered(community)
-        member = community[member]
-        if not moved:
-            return _numbered(member)[1]
-        low, high = np.minimum(community[low], community[high]), np.maximum(community[low], community[high])
-
-
-def _local_moves(g: Csr, degree: np.ndarray, total: float, resolution: float, rng) -> tuple[np.ndarray, bool]:
-    community, inside, k = list(range(g.n)), degree.tolist(), degree.tolist()
-    if total <= 0:
-        return np.array(community, np.int64), False
-    ends, w = g.start.tolist(), g.w.tolist()
-    near = g.dst.tolist()
-    around = [list(zip(near[a:b], w[a:b])) for a, b in zip(ends, ends[1:])]
-    order, ever, moving = rng.permutation(g.n).tolist(), False, True
-    stale = [True] * g.n  # whether a node's surroundings changed since it last chose to stay
-    while moving:
-        moving = False
-        for v in order:
-            if not stale[v]:
-                continue
-            links: dict[int, float] = {}
-            get = links.get
-            for u, x in around[v]:
-                c = community[u]
-                links[c] = get(c, 0.0) + x
-            old, pull = community[v], resolution * k[v] / total
-            inside[old] -= k[v]
-            best, gain = old, get(old, 0.0) - inside[old] * pull
-            for c in sorted(links):
-                g_c = links[c] - inside[c] * pull
-                if g_c > gain + 1e-12:
-                    best, gain = c, g_c
-            inside[best] += k[v]
-            stale[v] = False
-            if best != old:
-                community[v], moving, ever = best, True, True
-                for u, _ in around[v]:
-                    stale[u] = True
-    return np.array(community, np.int64), ever
+        links = Csr(len(there), np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((x, x)))
+        k = np.bincount(links.src, weights=links.w, minlength=len(there)) + 2 * np.bincount(low[own], weights=w[own], minlength=len(there))
+        c, ever = _moves(links, k, total, numbers[there], resolution, seed, level, 1e-12 * scale)
+        member = there[c[place[member]]]
+        if not ever:
+            break
+        low, high = there[c[low]], there[c[high]]
+        low, high = np.minimum(low, high), np.maximum(low, high)
+    return _numbered(member)[1]
+
+
+def _moves(g: Csr, k: np.ndarray, total: float, numbers: np.ndarray, resolution: float, seed: int, level: int, least: float) -> tuple[np.ndarray, bool]:
+    """Each node's community after the half-sweeps of a level, and whether any moved.
+
+    In a half-sweep half of the nodes choose, all by what held before it, the community of most gain; of equal ones
+    their own, else the last.
+    """
+    n, ever = g.n, False
+    c = np.arange(n)
+    if not len(g.src):
+        return c, False
+    for sweep in range(SWEEPS):
+        turn = draw(seed, numbers, level * SWEEPS + sweep) & 1 == 0
+        size = np.bincount(c, weights=k, minlength=n)
+        key = g.src * n + c[g.dst]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        into = np.add.reduceat(g.w[order], first)
+        who, to = key[first] // n, key[first] % n
+        stays = to == c[who]
+        gain = into - resolution * (size[to] - np.where(stays, k[who], 0.0)) * k[who] / total
+        start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
+        most = np.maximum.reduceat(gain, start)
+        best = np.maximum.reduceat(np.where(gain == np.repeat(most, np.diff(np.r_[start, len(who)])), to + n * stays, -1), start) % n
+        here = np.zeros(n)
+        here[who[stays]] = into[stays]
+        now = here - resolution * (size[c] - k) * k / total
+        voter = who[start]
+        go = turn[voter] & (most > now[voter] + least)
+        changed = int((best[go] != c[voter[go]]).sum())
+        c = c.copy()
+        c[voter[go]] = best[go]
+        ever |= changed > 0
+        if sweep and changed <= SETTLED * n:
+            break
+    return c, ever
 
 
 def _numbered(labels: np.ndarray) -> tuple[int, np.ndarray]:

@@ -20,6 +20,7 @@ from weftline.columns import checkpoint, col
 from weftline.errors import ColumnNotFoundError, ComputeError
 from weftline.functions.expr import Expr
 from weftline.operators import kernels as K
+from weftline.operators.draws import id_numbers
 from weftline.operators.distributed import component_roots, label_votes, louvain_rounds, pagerank_loop, source_dependencies, source_distances, strong_component_roots, weighted_dependencies
 from weftline.operators.tail import DEFAULT_SEED
 from weftline.topology import Topology, encode, kernel_edges
@@ -33,7 +34,7 @@ def _schema(t: Topology, value: T.DataType) -> T.StructType:
 
 
 def whole_graph(t: Topology, edges: DataFrame, value: T.DataType, kernel: Callable) -> DataFrame:
-    """Run ``kernel(n, src, dst, w)`` over a small graph in one task. A kernel of identifiers returns positions."""
+    """Run ``kernel(ids, src, dst, w)`` over a small graph in one task. A kernel of identifiers returns positions."""
     positions = isinstance(value, T.NullType)
     schema = _schema(t, T.LongType() if positions else value)
     schema = T.StructType([schema[0], T.StructField("value", schema[0].dataType)]) if positions else schema
@@ -42,7 +43,7 @@ def whole_graph(t: Topology, edges: DataFrame, value: T.DataType, kernel: Callab
         table = pa.Table.from_batches(list(batches))
         ids, s, d = encode(table.column("src"), table.column("dst"))
         w = table.column("w").to_numpy() if "w" in table.column_names else None
-        out = kernel(len(ids), s, d, w)
+        out = kernel(ids, s, d, w)
         yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(out)) if positions else pa.array(out)], names=["id", "value"])
 
     def guarded(batches):
@@ -74,7 +75,7 @@ def pagerank(t: Topology, damping: float = 0.85, max_iter: int = 30, tol: float
         raise ValueError("damping is within 0 and 1, and max_iter is 0 or more")
     edges = t.weighted(weight)
     if t.small:
-        return whole_graph(t, edges, T.DoubleType(), lambda n, s, d, w: K.pagerank(n, s, d, w, damping, max_iter, tol))
+        return whole_graph(t, edges, T.DoubleType(), lambda ids, s, d, w: K.pagerank(len(ids), s, d, w, damping, max_iter, tol))
     return pagerank_loop(t, edges, damping, max_iter, tol)
 
 
@@ -84,8 +85,8 @@ def connected_components(t: Topology, mode: str = "weak") -> DataFrame:
         raise NotImplementedError(f"mode is 'weak' or 'strong', not {mode!r}")
     if t.small:
         if mode == "weak":
-            return _labelled(t, whole_graph(t, t.edges, T.NullType(), lambda n, s, d, w: K.weak_roots(n, s, d)))
-        return _labelled(t, whole_graph(t, t.edges, T.NullType(), lambda n, s, d, w: K.strong_roots(K.Csr(n, s, d))))
+            return _labelled(t, whole_graph(t, t.edges, T.NullType(), lambda ids, s, d, w: K.weak_roots(len(ids), s, d)))
+        return _labelled(t, whole_graph(t, t.edges, T.NullType(), lambda ids, s, d, w: K.strong_roots(K.Csr(len(ids), s, d))))
     return _labelled(t, component_roots(t) if mode == "weak" else strong_component_roots(t))
 
 
@@ -94,7 +95,8 @@ def _triangles_and_degree(t: Topology) -> DataFrame:
     if t.small:
         schema = T.ArrayType(T.LongType())
 
-        def kernel(n, s, d, w):
+        def kernel(ids, s, d, w):
+            n = len(ids)
             a, b = np.minimum(s, d), np.maximum(s, d)
             pair = np.unique((a * n + b)[a != b])
             a, b = pair // n, pair % n
@@ -164,9 +166,12 @@ def _distance_work(weighted: bool):
     def work(ids, graph, at):
         total, reached, most = np.zeros(len(at)), np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         if weighted:
-            for k, s in enumerate(at.tolist()):
-                found = K.dijkstra(graph, s)
-                total[k], reached[k] = sum(found.values()), len(found) - 1
+            k = 0
+            for some in K.batches(at, graph.n):
+                cost = K.cheapest(graph, some)[:, : len(some)]
+                near = np.isfinite(cost)
+                total[k : k + len(some)], reached[k : k + len(some)] = np.where(near, cost, 0.0).sum(axis=0), near.sum(axis=0) - 1
+                k += len(some)
         else:
             back = graph.reversed()
             for k in range(0, len(at), 64):
@@ -204,7 +209,8 @@ def closeness(t: Topology, weight: Expr | None = None) -> DataFrame:
 def betweenness(t: Topology, sample: float | None = None, weight: Expr | None = None, seed: int | None = None) -> DataFrame:
     """Shortest paths through each node, directed and not normalised; each parallel edge is a path of its own.
 
-    ``sample`` takes that share of sources, drawn by ``seed``, and scales up.
+    ``sample`` takes that share of sources, drawn by ``seed``, and scales up. Edges of weight 0 count, but in circles of them
+    paths cannot be counted, which is an error.
     """
     edges = t.edges if weight is None else t.weighted(weight)
 
@@ -223,11 +229,12 @@ def betweenness(t: Topology, sample: float | None = None, weight: Expr | None =
 
     def work(ids, graph, at):
         total = np.zeros(len(ids))
-        for s in at.tolist():
-            if weight is None:
-                K.brandes(graph, s, total)
-            else:
-                K.brandes_weighted(graph, s, total)
+        if weight is None:
+            for some in K.batches(at, graph.n):
+                K.brandes(graph, some, total)
+        else:
+            for some in K.batches(at, graph.n + len(graph.src)):
+                K.brandes_weighted(graph, some, total)
         yield pa.RecordBatch.from_arrays([ids, pa.array(total)], names=["id", "value"])
 
     partial = per_source(t, edges, drawn, _schema(t, T.DoubleType()), work)
@@ -237,33 +244,29 @@ def betweenness(t: Topology, sample: float | None = None, weight: Expr | None =
 def label_propagation(t: Topology, max_iter: int = 20, seed: int | None = None) -> DataFrame:
     """Communities by majority vote of neighbours in both directions; ties go to the least label.
 
-    A small graph is swept node by node in seeded order; a larger one in two halves a round, drawn by a seeded
-    hash, so that neighbours do not swap labels for ever.
+    Nodes vote in two halves a round, drawn by a seeded hash, so that neighbours do not swap labels for ever.
     """
     chosen = DEFAULT_SEED if seed is None else seed
     if t.small:
-
-        def kernel(n, s, d, w):
-            g = K.Csr(n, s, d)
-            return K.label_propagation(g, g.reversed(), max_iter, chosen)
-
+        kernel = lambda ids, s, d, w: K.label_propagation(len(ids), s, d, id_numbers(ids), max_iter, chosen)
         return _labelled(t, whole_graph(t, t.edges, T.NullType(), kernel))
     return _labelled(t, label_votes(t, max_iter, chosen))
 
 
 def louvain(t: Topology, weight: Expr | None = None, resolution: float = 1.0, seed: int | None = None) -> DataFrame:
-    """Communities of high modularity, numbered from 0; edges count both ways, and a loop once.
+    """Communities of high modularity, numbered from 0 in order of their least members; edges count both ways, a loop once.
 
     Edges are merged into one weight a pair by a distributed aggregation first, so the bound that holds for
-    what one task takes is on pairs of nodes, not on rows.
+    what one task takes is on pairs of nodes, not on rows. Weights are scaled to whole numbers, so that sums are the same
+    in any order, and nodes move in seeded half-sweeps, so that a task and a cluster find the same communities.
     """
+    chosen = DEFAULT_SEED if seed is None else seed
     pairs = t.weighted(weight).groupBy(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).agg(F.sum("w").alias("w"))
     if not t.small:
         pairs = checkpoint(pairs)
         if pairs.count() > kernel_edges(pairs):
-            return louvain_rounds(t, pairs, resolution, DEFAULT_SEED if seed is None else seed)
-    chosen = DEFAULT_SEED if seed is None else seed
-    return whole_graph(t, pairs, T.LongType(), lambda n, s, d, w: K.louvain(n, s, d, w, resolution, chosen))
+            return louvain_rounds(t, pairs, resolution, chosen)
+    return whole_graph(t, pairs, T.LongType(), lambda ids, s, d, w: K.louvain(len(ids), s, d, w, id_numbers(ids), resolution, chosen))
 
 
 def neighbors_agg(t: Topology, attributes: DataFrame, id_col: str, agg: Expr, direction: str = "out") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from weftline.columns import checkpoint
 from weftline.functions.expr import Expr
 from weftline.operators.distributed import numbered
+from weftline.operators.draws import draw, draw_column
 from weftline.operators.kernels import Csr
 from weftline.operators.tail import DEFAULT_SEED
 from weftline.topology import Topology, encode
@@ -124,7 +125,7 @@ def _joined_path(t: Topology, edges: DataFrame, source, target, schema: T.Struct
     """Relaxation by joins from the newest nodes, pruned by the target's best cost; then a walk back."""
     steps = checkpoint(edges.groupBy("src", "dst").agg(F.min("w").alias("w")))
     best = checkpoint(t.vertices.where(F.col("id") == t.id_column(source)).select("id", F.lit(0.0).alias("cost"), F.lit(None).cast(t.id_type).alias("parent")))
-    front = best
+    front, held = best, None
     while not front.isEmpty():
         there = best.where(F.col("id") == t.id_column(target)).first()
         offers = front.select(F.col("id").alias("src"), "cost").join(steps, "src").select(F.col("dst").alias("id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("parent")).alias("o"))
@@ -132,11 +133,12 @@ def _joined_path(t: Topology, edges: DataFrame, source, target, schema: T.Struct
             offers = offers.where(F.col("o.cost") <= there["cost"])
         offers = offers.groupBy("id").agg(F.min("o").alias("o"))
         both = best.join(offers, "id", "full")
-        better = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
+        nearer = F.col("o").isNotNull() & (F.col("cost").isNull() | (F.col("o.cost") < F.col("cost")))
+        better = nearer | (F.col("o").isNotNull() & (F.col("o.cost") == F.col("cost")) & (F.col("o.parent") < F.col("parent")))
         new = checkpoint(
-            both.select("id", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.parent")).otherwise(F.col("parent")).alias("parent"), better.alias("moved"))
+            both.select("id", F.when(better, F.col("o.cost")).otherwise(F.col("cost")).alias("cost"), F.when(better, F.col("o.parent")).otherwise(F.col("parent")).alias("parent"), nearer.alias("moved")), held
         )
-        best, front = new.select("id", "cost", "parent"), new.where("moved").select("id", "cost")
+        held, best, front = new, new.select("id", "cost", "parent"), new.where("moved").select("id", "cost")
     rows, at = [], target
     while at != source:
         entry = best.where(F.col("id") == t.id_column(at)).first()
@@ -148,23 +150,17 @@ def _joined_path(t: Topology, edges: DataFrame, source, target, schema: T.Struct
     return t.spark.createDataFrame([(a, b, k, c) for k, (a, b, c) in enumerate(rows)], schema)
 
 
-_GAMMA, _M1, _M2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-
-
-def _draws(seed: int, walk: np.ndarray, step: int) -> np.ndarray:
-    """A 64-bit number for each walk and step, from the public SplitMix64 mixing function."""
-    with np.errstate(over="ignore"):
-        z = walk.astype(np.uint64) * np.uint64(_GAMMA) + np.uint64((seed + step * _M2) % (1 << 64))
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(_M1)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(_M2)
-        return z ^ (z >> np.uint64(31))
+def _part(name: str):
+    """Where an edge stands among those of its source: in one of 64 parts by the hash of its end, and by its end within."""
+    return F.pmod(F.xxhash64(name), F.lit(64))
 
 
 def random_walk(t: Topology, start: DataFrame, steps: int, walks_per_node: int = 1, seed: int | None = None) -> DataFrame:
     """``(walk_id, step, node)``: walks along out-edges, each edge row equally likely; step 0 is the start.
 
-    A walk ends where no edge leads on. ``start`` has a position ``at`` and an identifier ``id``; known
-    starts are numbered in order, then by repetition. The same seed gives the same walks however work is split.
+    A walk ends where no edge leads on. ``start`` has an order ``at`` (of a list: the position; else the identifier) and an
+    identifier ``id``; known starts are numbered in that order, then by repetition. The same seed gives the same walks however rows and work
+    are split, and however large the graph is.
     """
     if steps < 0 or walks_per_node < 0:
         raise ValueError("steps and walks_per_node are 0 or more")
@@ -176,15 +172,17 @@ def random_walk(t: Topology, start: DataFrame, steps: int, walks_per_node: int =
     kind = T.LongType() if t.id_type == "bigint" else T.StringType()
     schema = T.StructType([T.StructField("walk_id", T.LongType()), T.StructField("step", T.LongType()), T.StructField("node", kind)])
     if t.small:
-        table = t.edges.toArrow()
+        table = t.edges.withColumn("part", _part("dst").cast("int")).toArrow()
         ids, s, d = encode(table.column("src"), table.column("dst"))
-        shared = t.spark.sparkContext.broadcast((ids, s, d))
+        order = np.lexsort((d, table.column("part").to_numpy(), s))
+        start = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(np.bincount(s, minlength=len(ids)), out=start[1:])
+        shared = t.spark.sparkContext.broadcast((ids, start, d[order]))
 
         def run(batches):
             import pyarrow.compute as pc
 
-            ids, s, d = shared.value
-            g = Csr(len(ids), s, d)
+            ids, start, ends = shared.value
             for b in batches:
                 walk = b.column(0).to_numpy()
                 at = pc.index_in(b.column(1), value_set=ids).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -192,12 +190,11 @@ def random_walk(t: Topology, start: DataFrame, steps: int, walks_per_node: int =
                     if not len(at):
                         break
                     yield pa.RecordBatch.from_arrays([pa.array(walk), pa.array(np.full(len(walk), step, np.int64)), ids.take(pa.array(at))], names=schema.names)
-                    size = g.start[at + 1] - g.start[at]
+                    size = start[at + 1] - start[at]
                     on = size > 0
                     walk, at, size = walk[on], at[on], size[on]
                     if len(at):
-                        pick = (_draws(chosen, walk, step) % size.astype(np.uint64)).astype(np.int64)
-                        at = g.dst[g.start[at] + pick]
+                        at = ends[start[at] + draw(chosen, walk, step) % size]
 
         return walkers.repartition(t.spark.sparkContext.defaultParallelism, "walk_id").mapInArrow(run, schema)
     return _joined_walks(t, walkers, steps, chosen).select("walk_id", F.col("step").cast("long").alias("step"), "node")
@@ -209,7 +206,7 @@ def _joined_walks(t: Topology, walkers: DataFrame, steps: int, seed: int) -> Dat
     A node's positions are numbered in two stages (parts of its edges by hash, then within a part), so the busiest
     node is no single task's work; a walker looks up the block of the position it draws.
     """
-    merged = checkpoint(t.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).withColumn("part", F.pmod(F.xxhash64("dst"), F.lit(64))))
+    merged = checkpoint(t.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).withColumn("part", _part("dst")))
     parts = merged.groupBy("src", "part").agg(F.sum("m").alias("size"))
     before = Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("base", F.coalesce(F.sum("size").over(before), F.lit(0))).withColumn("total", F.sum("size").over(Window.partitionBy("src")))
@@ -222,8 +219,8 @@ def _joined_walks(t: Topology, walkers: DataFrame, steps: int, seed: int) -> Dat
     now = checkpoint(walkers)
     out = now.withColumn("step", F.lit(0))
     for step in range(steps):
-        draw = F.pmod(F.xxhash64(F.lit(seed).cast("long"), "walk_id", F.lit(step)), F.col("total"))
-        drawn = now.join(size, "node").withColumn("draw", draw).withColumn("block", F.floor(F.col("draw") / WALK_BLOCK))
+        drawn = now.join(size, "node").withColumn("draw", F.pmod(draw_column(seed, F.col("walk_id"), step), F.col("total")))
+        drawn = drawn.withColumn("block", F.floor(F.col("draw") / WALK_BLOCK))
         met = drawn.join(lookup, ["node", "block"]).where((F.col("lo") <= F.col("draw")) & (F.col("draw") < F.col("hi")))
         now = checkpoint(met.select("walk_id", F.col("dst").alias("node")))
         if now.isEmpty():

@@ -17,9 +17,11 @@ from weftline.functions.expr import Expr, lower
 
 __all__ = ["Topology", "TopologyCell", "canonical_id", "kernel_edges", "encode", "builds"]
 
-#: Graphs of up to so many edges may be handed to one task or broadcast (about 100 MB as arrays); larger
-#: ones are worked on by distributed joins. Set ``weftline.kernel.edges`` in the session to change it.
+#: Graphs of up to so many edges, and bytes of identifiers, may be handed to one task or broadcast; larger
+#: ones are worked on by distributed joins, with the same results. Set ``weftline.kernel.edges`` and ``weftline.kernel.bytes`` in the session
+#: to change it.
 KERNEL_EDGES = 4_000_000
+KERNEL_BYTES = 128 << 20
 
 _builds = 0
 
@@ -48,10 +50,11 @@ def canonical_id(df: DataFrame, name: str) -> Column:
 class Topology:
     """Edges ``(src, dst)`` along with all their other columns, kept in memory or on disk.
 
-    What follows from them (vertices, degrees, the simple undirected graph) is derived lazily.
+    What follows from them (vertices, degrees, the simple undirected graph) is derived lazily. Rows that another evaluation
+    could choose otherwise (``once``) are kept whole, so that weights are of the same rows.
     """
 
-    def __init__(self, edges: DataFrame, src: str, dst: str, on_null: str):
+    def __init__(self, edges: DataFrame, src: str, dst: str, on_null: str, once: bool = False):
         global _builds
         a, b = canonical_id(edges, src), canonical_id(edges, dst)
         kinds = edges.select(a.alias("a"), b.alias("b")).dtypes
@@ -61,20 +64,33 @@ class Topology:
         self.spark = edges.sparkSession
         if on_null == "drop":
             edges = edges.where(col(src).isNotNull() & col(dst).isNotNull())
+        if once:
+            edges = edges.persist()
         self.source, self.src, self.dst = edges, src, dst
         self.edges = edges.select(a.alias("src"), b.alias("dst")).persist()
-        counted = self.edges.agg(F.count("*").alias("n"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("nulls")).first()
+        self._kept, self._weighted, self._vertices = [self.edges, *([edges] if once else [])], {}, None
+        size = F.octet_length("src") + F.octet_length("dst") if self.id_type == "string" else F.lit(16)
+        counted = self.edges.agg(F.count("*").alias("n"), F.count_if(F.col("src").isNull() | F.col("dst").isNull()).alias("nulls"), F.sum(size).alias("bytes")).first()
         if counted["nulls"]:
-            self.edges.unpersist()
+            self.release()
             raise ValueError(f"{counted['nulls']} edges have a null endpoint; on_null='drop' leaves them out")
         self.n_edges: int = counted["n"]
-        self.small = self.n_edges <= kernel_edges(edges)
+        bound = int(self.spark.conf.get("weftline.kernel.bytes", str(KERNEL_BYTES)))
+        self.small = self.n_edges <= kernel_edges(edges) and (counted["bytes"] or 0) <= bound
         _builds += 1
 
+    def release(self) -> None:
+        """Give back what is kept in memory or on executors' disks."""
+        for df in self._kept:
+            df.unpersist()
+
     @property
     def vertices(self) -> DataFrame:
-        """``(id)``: every endpoint once."""
-        return self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        """``(id)``: every endpoint once; kept, as most algorithms end with a join to it."""
+        if self._vertices is None:
+            self._vertices = self.edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct().persist()
+            self._kept.append(self._vertices)
+        return self._vertices
 
     @property
     def undirected(self) -> DataFrame:
@@ -104,14 +120,17 @@ class Topology:
         kind = self.source.select(value.alias("w")).schema[0].dataType
         if not isinstance(kind, T.NumericType):
             raise ComputeError(f"weight must be numeric, not {kind.simpleString()}")
+        if repr(weight) in self._weighted:
+            return self._weighted[repr(weight)]
         out = self.source.select(
             canonical_id(self.source, self.src).alias("src"), canonical_id(self.source, self.dst).alias("dst"), value.cast("double").alias("w")
-        )
+        ).persist()  # checked and used in one evaluation
         seen = out.agg(F.count_if(F.col("w").isNull()).alias("nulls"), F.count_if(F.col("w") < 0).alias("negative"), F.count_if(F.isnan("w")).alias("nan")).first()
-        if seen["nulls"]:
-            raise ComputeError(f"weight is null on {seen['nulls']} edges")
-        if seen["negative"] or seen["nan"]:
-            raise ComputeError("weight must be non-negative")
+        if seen["nulls"] or seen["negative"] or seen["nan"]:
+            out.unpersist()
+            raise ComputeError(f"weight is null on {seen['nulls']} edges" if seen["nulls"] else "weight must be non-negative")
+        self._weighted[repr(weight)] = out
+        self._kept.append(out)
         return out
 
     def id_column(self, value) -> Column:
@@ -134,7 +153,7 @@ class TopologyCell:
     def drop(self) -> None:
         with self._lock:
             if self._made is not None:
-                self._made.edges.unpersist()
+                self._made.release()
                 self._made = None
 
 
