@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.columns import col, require
+from weftline.shipping import ship
 
 __all__ = ["token_counts", "pack", "SumOfSquares", "TOKENIZER_DIR", "TOKENIZER_FILE", "SHARD_ITEMS"]
 
@@ -45,6 +46,7 @@ def _encoding(path: str):
 def token_counts(df: DataFrame, item: str, text: str, *, tokenizer: str | None = None) -> DataFrame:
     """``(item, n_tokens)`` for every row: the size of its whole text in tokens, 0 if null or empty."""
     require(df, item, text)
+    ship(df.sparkSession)
     path = tokenizer or os.path.join(TOKENIZER_DIR, TOKENIZER_FILE)
     schema = T.StructType([T.StructField("item", df.schema[item].dataType), T.StructField("n_tokens", T.LongType())])
 
