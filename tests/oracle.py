@@ -19,12 +19,16 @@ def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     out = []
     for r in frame.itertuples(index=False):
-        out.append(tuple("null" if v is None or v is pd.NaT or v is pd.NA or v != v else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r))
+        out.append(tuple("null" if v is None or v is pd.NaT or v is pd.NA else f"{v:.6f}" if isinstance(v, float) else str(v) for v in r))
     return sorted(out)
 
 
+def _objects(table) -> pd.DataFrame:
+    """Plain Python values, so that NaN and null stay apart."""
+    return pd.DataFrame({c: pd.Series(table.column(c).to_pylist(), dtype=object) for c in table.column_names}, columns=table.column_names)
+
+
 def compare(df, sql: str, con) -> None:
-    got = df.toArrow().to_pandas(integer_object_nulls=True)
-    want = con.sql(sql).to_arrow_table().to_pandas(integer_object_nulls=True)
+    got, want = _objects(df.toArrow()), _objects(con.sql(sql).to_arrow_table())
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)

@@ -271,8 +271,21 @@ def test_materialized(nodes, tmp_path):
     assert m.to_pandas().shape == (5, 4)
     m.sink_parquet(str(tmp_path / "a.parquet"), compression="zstd")
     m.sink_csv(str(tmp_path / "a.csv"))
-    m.sink_parquet(str(tmp_path / "folder.parquet"), distributed=True)
-    for name in ("a.parquet", "a.csv", "folder.parquet"):
+    m.sink_parquet(str(tmp_path / "one.parquet"), one_file=True, compression="zstd")
+    m.sink_csv(str(tmp_path / "one.csv"), one_file=True)
+    for name in ("a.parquet", "a.csv", "one.parquet", "one.csv"):
         assert len(w.read_nodes(str(tmp_path / name), id="id")) == 5
+    assert (tmp_path / "a.parquet").is_dir() and (tmp_path / "one.parquet").is_file()
+    with pytest.raises(NotImplementedError):
+        m.sink_csv("s3://bucket/one.csv", one_file=True)
     with pytest.raises(TypeError):
         m.sink_csv(str(tmp_path / "b.csv"), sep=";")
+
+
+def test_a_graph_expression_takes_the_verbs_of_its_frame(spark):
+    e = w.from_edgelist([(0, 1), (1, 2), (2, 0), (0, 2)])
+    d = w.degree(e)
+    assert [r["degree"] for r in d.sort("degree", descending=True).head(1).to_dicts()] == [2]
+    assert d.rename({"degree": "k"}).to_spark().columns == ["id", "k"] and len(d.sample(2, seed=1).collect()) == 2
+    assert sorted(r["n"] for r in d.group_by("degree").agg(n=w.col("id").count()).to_dicts()) == [1, 2]
+    assert d.to_pandas().shape == (3, 2) and "NodeFrame" in d.explain() and d.schema() == {"id": "bigint", "degree": "bigint"}

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 import weftline as w
 from weftline.catalog.registry import read
 
-__all__ = ["supply", "trade", "flow", "copurchase", "clicks", "tree", "karate", "lesmis", "EDGES"]
+__all__ = ["supply", "trade", "flow", "copurchase", "tree", "stars", "ring", "karate", "karate_w", "lesmis", "EDGES"]
 
 #: Parts are offset in graphs that mix them with suppliers or customers.
 OFFSET = 1_000_000
@@ -22,10 +21,12 @@ EDGES = {
       from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey join supplier on l_suppkey = s_suppkey""",
     "copurchase": """select distinct a.l_partkey as src, b.l_partkey as dst, 1.0 as weight
       from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey < b.l_partkey""",
-    "clicks": """select src, dst, count(*)::double as weight from (
-      select event_type as src, lead(event_type) over (partition by user_id order by ts, event_id) as dst from events) where dst is not null group by all""",
     "tree": """select concat('c', c_custkey) as src, concat('n', c_nationkey) as dst, 1.0 as weight from customer
       union all select concat('n', n_nationkey), concat('r', n_regionkey), 1.0 from nation""",
+    "stars": "select concat('c', c_custkey) as src, concat('n', c_nationkey) as dst, 1.0 as weight from customer",
+    "ring": """select concat('c', c_custkey) as src, concat('n', c_nationkey) as dst, 40.0 as weight from customer
+      union all select concat('c', c_custkey), concat('n', (c_nationkey + 1) % 25), 1.0 from customer""",
+    "karate_w": "select src, dst, (1 + edge_id % 5)::double as weight from karate_edges where src is not null and dst is not null",
     "karate": "select src, dst, 1.0 as weight from karate_edges where src is not null and dst is not null",
     "lesmis": "select src, dst, coalesce(weight, 0)::double as weight from lesmis_edges where src is not null and dst is not null",
 }
@@ -57,18 +58,28 @@ def copurchase(spark: SparkSession, sf: str) -> w.EdgeFrame:
     return _frame(a.join(b, "l_orderkey").where("src < dst").select("src", "dst").distinct())
 
 
-def clicks(spark: SparkSession, sf: str) -> w.EdgeFrame:
-    by_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    d = read(spark, sf, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(by_user).alias("dst"))
-    return _frame(d.where("dst is not null").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
-
-
 def tree(spark: SparkSession, sf: str) -> w.EdgeFrame:
     c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
     up = c.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), "c_nationkey").alias("dst"))
     return _frame(up.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("src"), F.concat(F.lit("r"), "n_regionkey").alias("dst"))))
 
 
+def _towards(d, key):
+    return d.select(F.concat(F.lit("c"), "c_custkey").alias("src"), F.concat(F.lit("n"), key).alias("dst"))
+
+
+def stars(spark: SparkSession, sf: str) -> w.EdgeFrame:
+    """Customers to their nation: each nation is a community, whatever the method."""
+    return _frame(_towards(read(spark, sf, "customer"), F.col("c_nationkey")))
+
+
+def ring(spark: SparkSession, sf: str) -> w.EdgeFrame:
+    """Customers to their nation and, by a fortieth of the weight, to the next one: by weight nations are communities."""
+    d = read(spark, sf, "customer")
+    heavy = _towards(d, F.col("c_nationkey")).withColumn("weight", F.lit(40.0))
+    return _frame(heavy.unionByName(_towards(d, (F.col("c_nationkey") + 1) % 25).withColumn("weight", F.lit(1.0))))
+
+
 def _whole(df):
     return df.where(F.col("src").isNotNull() & F.col("dst").isNotNull())
 
@@ -77,6 +88,11 @@ def karate(spark: SparkSession, sf: str) -> w.EdgeFrame:
     return _frame(_whole(read(spark, sf, "karate_edges")))
 
 
+def karate_w(spark: SparkSession, sf: str) -> w.EdgeFrame:
+    d = _whole(read(spark, sf, "karate_edges"))
+    return _frame(d.select("src", "dst", (1 + F.col("edge_id") % 5).cast("double").alias("weight")))
+
+
 def lesmis(spark: SparkSession, sf: str) -> w.EdgeFrame:
     d = _whole(read(spark, sf, "lesmis_edges"))
     return _frame(d.withColumn("weight", F.coalesce("weight", F.lit(0))))

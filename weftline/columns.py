@@ -9,6 +9,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.shipping import ship
+
 __all__ = ["col", "fresh", "require", "checkpoint", "discard", "stored", "shared_folder"]
 
 
@@ -44,6 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
 
     A session with executors on other machines has to name one: they could not read a folder of the driver's machine.
     """
+    ship(spark)
     sc = spark.sparkContext
     if not (known := sc._jsc.sc().getCheckpointDir()).isEmpty():
         return known.get()

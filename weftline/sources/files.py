@@ -14,14 +14,12 @@ from pyspark.sql import DataFrame
 
 from weftline.columns import col, shared_folder
 from weftline.errors import ColumnNotFoundError, ComputeError
-from weftline.frames import EdgeFrame, MaterializedFrame, NodeFrame
+from weftline.frames import CONNECTORS, EdgeFrame, MaterializedFrame, NodeFrame, store_path
 from weftline.sources.memory import session
 from weftline.topology import canonical_id
 
 __all__ = ["Scan", "scan_edges", "scan_nodes", "read_edges", "read_nodes"]
 
-# URL schemes of object stores, and the Hadoop connector that reads each.
-_CONNECTORS = {"file": "file", "hdfs": "hdfs", "s3": "s3a", "s3a": "s3a", "gs": "gs", "az": "abfss", "azure": "abfss", "abfs": "abfss", "abfss": "abfss", "adl": "abfss"}
 # Options for stores, and the Hadoop settings that they become.
 _OPTIONS = {
     "s3a": {
@@ -69,14 +67,14 @@ class Scan:
             if any(c in parts.path for c in "*?["):
                 raise NotImplementedError("http(s) URLs have no wildcards")
             return path if check_only else _fetched(path)
-        if parts.scheme not in _CONNECTORS:
-            raise NotImplementedError(f"unsupported URL scheme {parts.scheme!r}; known are {', '.join([*_CONNECTORS, 'http', 'https'])}")
-        connector = _CONNECTORS[parts.scheme]
+        if parts.scheme not in CONNECTORS:
+            raise NotImplementedError(f"unsupported URL scheme {parts.scheme!r}; known are {', '.join([*CONNECTORS, 'http', 'https'])}")
+        connector = CONNECTORS[parts.scheme]
         known = _OPTIONS.get(connector, {})
         for name in self.storage_options:
             if name not in known and not name.startswith("fs."):
                 raise ComputeError(f"unknown storage option {name!r} for {parts.scheme}://; known are {sorted(known)} and Hadoop's fs.* settings")
-        return connector + path[len(parts.scheme) :]
+        return store_path(path)
 
     def frame(self) -> DataFrame:
         spark = session()
@@ -94,7 +92,7 @@ class Scan:
         for name in names:
             if name not in df.columns:
                 raise ColumnNotFoundError(f"column not found: {name!r} in {self.paths[0]}; the columns are {df.columns}")
-        if df.isEmpty():
+        if df.isEmpty():  # one row of one file
             raise ComputeError(f"no rows in {self.paths[0]}")
         for name in names:
             df = df.withColumn(name, canonical_id(df, name))

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from weftline.columns import col
 from weftline.errors import ComputeError
 from weftline.functions.expr import Expr, lower
+from weftline.shipping import ship
 
 __all__ = ["Topology", "TopologyCell", "canonical_id", "kernel_edges", "encode", "builds"]
 
@@ -62,6 +63,7 @@ class Topology:
             raise TypeError(f"{src!r} is {kinds[0][1]} and {dst!r} is {kinds[1][1]}: both ends are integers, or both strings")
         self.id_type = kinds[0][1]
         self.spark = edges.sparkSession
+        ship(self.spark)
         if on_null == "drop":
             edges = edges.where(col(src).isNotNull() & col(dst).isNotNull())
         if once:
