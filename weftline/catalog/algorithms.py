@@ -197,7 +197,7 @@ def _betweenness_sql(distances: str, weight: str, kind: str = "double") -> str:
       union all select k + 1, back.s, tight.src, sum(back.x * tight.m) from back join tight on tight.s = back.s and tight.dst = back.v group by k, back.s, tight.src),
     g as (select s, v, sum(x) as g from back group by all),
     b as (select v as id, sum(g * sigma - 1) as b from g join sigma using (s, v) where s <> v group by v)
-    select id, round(coalesce(b, 0.0), 4) as betweenness from n left join b using (id)"""
+    select id, round(coalesce(b, 0.0), 4) + 0.0 as betweenness from n left join b using (id)"""
 
 
 @query(_betweenness_sql(_distances_sql("tree"), "1", "int"))
