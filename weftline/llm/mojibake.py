@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from weftline.columns import col, require, stored
 
-__all__ = ["GarbledText", "undo", "transformations"]
+__all__ = ["GarbledText", "undo", "garble", "garbled_copies", "transformations"]
 
 # Encodings of one byte a character, and of several, by their usual names.
 SINGLE_BYTE = ("latin_1 cp1252 cp1250 cp1251 cp1253 cp1254 cp1257 iso8859_2 iso8859_15 koi8_r cp866 cp437 cp850 cp852 mac_roman mac_cyrillic").split()
@@ -91,6 +91,31 @@ def undo(text: str, written: str, read: str) -> str | None:
     return None if back == text else back
 
 
+def garble(text: str, written: str, read: str) -> str | None:
+    """The text as it comes out when written in one encoding and read in another, or null if that can't be."""
+    data = _encode(text, written)
+    out = None if data is None or not data else _decode(data, read)
+    return None if out == text else out
+
+
+def garbled_copies(transformations: list[str]):
+    """For ``mapInArrow`` over ``(key, text)``: ``(key, garbled text, text, transformation)`` of the texts that have characters to garble."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, t in zip(*(c.to_pylist() for c in b.columns)):
+                if t and not t.isascii():
+                    for i in range(len(transformations)):
+                        how = transformations[(k // 20 + i) % len(transformations)]
+                        if bad := garble(t, *how.split(">")):
+                            rows.append((k, bad, t, how))
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*rows)) or [()] * 4, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=["doc_id", "text", "original", "how"])
+
+    return run
+
+
 def _candidates(learned) -> dict[str, list[str]]:
     """What each reader's text may have been written in: what was learned, and UTF-8 always."""
     out: dict[str, list[str]] = {r: ["utf_8"] for r in READ}

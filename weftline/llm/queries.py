@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.columns import stored
 from weftline.llm.borda import borda_points, borda_ranking
 from weftline.llm.containment import leaked_items
-from weftline.llm.mojibake import GarbledText
+from weftline.llm.mojibake import GarbledText, garbled_copies
 from weftline.llm.packing import pack, token_counts
 from weftline.llm.topn import top_n_per_group
 
@@ -68,6 +69,29 @@ def p6_pack_book(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf, "book")
 
 
+def p6_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """For each container what must hold: all documents placed, none split that fits, no window overfull or with gaps, little space unused."""
+    documents = _read(spark, sf, "documents")
+    sizes = stored(token_counts(documents, "doc_id", "text"))
+    n, out = sizes.count(), None
+    for c in _read(spark, sf, "containers").collect():  # four rows
+        capacity = c["capacity_tokens"]
+        placed = stored(pack(sizes, "doc_id", "n_tokens", capacity, n_items=n))
+        per_item = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("pieces"))
+        both = sizes.join(per_item.withColumnRenamed("n_tokens", "placed"), "doc_id", "left").agg(
+            F.count_if(F.col("placed") == F.col("n_tokens")).alias("n_documents"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("pieces") > 1)).alias("n_split")
+        )
+        windows = placed.where("window is not null").groupBy("shard", "window").agg(F.sum("n_tokens").alias("used"), F.max(F.col("starts_at") + F.col("n_tokens")).alias("end"))
+        room = windows.agg(
+            F.count_if((F.col("used") > capacity) | (F.col("used") != F.col("end"))).alias("n_overfull"),
+            # A shard may leave as many windows open as it has levels of use; what is unused beyond is a twentieth at most.
+            (F.coalesce(F.sum("used"), F.lit(0)) >= 0.95 * capacity * (F.count("*") - 8 * F.count_distinct("shard"))).alias("well_filled"),
+        )
+        row = both.join(F.broadcast(room)).select(F.lit(c["container_id"]).alias("container_id"), "n_documents", "n_split", "n_overfull", "well_filled")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(
         _read(spark, sf, "documents"), _read(spark, sf, "eval_items"),
@@ -93,9 +117,27 @@ def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
     return _garbled(spark, sf).restored()
 
 
+#: Transformations that the round trip puts clean documents through.
+ROUND_TRIP = ["utf_8>cp1252", "utf_8>cp437", "utf_8>mac_roman", "utf_8>cp1251", "cp1252>mac_roman", "cp1251>cp1252", "koi8_r>cp1251", "euc_jp>latin_1"]
+
+
+def p8_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """``(how, n_garbled, n_regained)``: clean documents of the query set (identifiers divisible by 20), garbled and restored among all documents.
+
+    Each goes through the first transformation, counted on from its identifier, that it can be written in.
+    """
+    documents = _read(spark, sf, "documents").select("doc_id", "text")
+    clean = documents.where("doc_id % 20 = 0").join(_garbled(spark, sf).found(), "doc_id", "left_anti")
+    bad = stored(clean.mapInArrow(garbled_copies(ROUND_TRIP), "doc_id long, text string, original string, how string"))
+    both = documents.unionByName(bad.select((-1 - F.col("doc_id")).alias("doc_id"), "text"))
+    restored = GarbledText(both, key="doc_id", text="text").restored().select((-1 - F.col("doc_id")).alias("doc_id"), "restored_text")
+    met = bad.join(restored, "doc_id", "left").groupBy("how")
+    return met.agg(F.count("*").alias("n_garbled"), F.count_if(F.col("restored_text") == F.col("original")).alias("n_regained"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_top10, p4_found, p4_borda, p6_pack, p6_pack_short, p6_pack_medium, p6_pack_book, p7_found, p7_by_item, p8_found, p8_restored)
+    for f in (p1_found, p1_top10, p4_found, p4_borda, p6_pack, p6_pack_short, p6_pack_medium, p6_pack_book, p6_checked, p7_found, p7_by_item, p8_found, p8_restored, p8_roundtrip)
 }
 
 _ITEMS = """with once as (select distinct src, edge_id, weight, seen_at from lesmis_edges where src is not null and weight is not null),
@@ -126,6 +168,8 @@ SQL = {
         case when a is null then (n + 1) / 2.0 else rank() over (partition by graph_name order by a desc nulls last) + (count(*) over (partition by graph_name, a) - 1) / 2.0 end as pa,
         case when b is null then (n + 1) / 2.0 else rank() over (partition by graph_name order by b desc nulls last) + (count(*) over (partition by graph_name, b) - 1) / 2.0 end as pb from n)
     select graph_name, id, (pa + pb)::double as points from placed""",
+    "p6_checked": """select container_id, (select count(*) from documents)::bigint as n_documents, 0::bigint as n_split, 0::bigint as n_overfull, true as well_filled
+    from containers""",
     "p7_found": f"{_LEAKS} select doc_id, item_id from leaks",
     "p7_by_item": f"{_LEAKS} select item_id, suite, count(*)::bigint as n_documents from leaks join eval_items using (item_id) group by all",
 }
