@@ -150,6 +150,15 @@ def test_distributed_loops_against_brute_force(spark, distributed):
         w.betweenness(w.from_edgelist([(0, 1, 0), (1, 0, 0)]), weight=w.col("weight")).collect()
 
 
+def test_distributed_sources_in_blocks(spark, distributed, monkeypatch):
+    from weftline.operators import distributed as loops
+
+    monkeypatch.setattr(loops, "PAIRS_A_BLOCK", 0)
+    monkeypatch.setattr(loops, "SOURCES_A_BLOCK", 4)
+    edges = random_graph(3, n=6, m=12)
+    close(values(w.betweenness(w.from_edgelist(edges))), brute_betweenness(edges))
+
+
 def test_distributed_pagerank_with_hubs(spark, distributed, monkeypatch):
     from weftline.operators import distributed as loops
 
