@@ -378,12 +378,18 @@ def _moves(g: Csr, k: np.ndarray, total: float, numbers: np.ndarray, resolution:
     for sweep in range(SWEEPS):
         turn = draw(seed, numbers, level * SWEEPS + sweep) & 1 == 0
         size = np.bincount(c, weights=k, minlength=n)
-        key = g.src * n + c[g.dst]
+        mine = np.flatnonzero(turn[g.src])
+        if not len(mine):
+            if sweep:
+                break
+            continue
+        at, near = g.src[mine], c[g.dst[mine]]
+        key = at * n + near
         order = np.argsort(key)
         key = key[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        into = np.add.reduceat(g.w[order], first)
-        who, to = key[first] // n, key[first] % n
+        into = np.add.reduceat(g.w[mine[order]], first)
+        who, to = at[order[first]], near[order[first]]
         stays = to == c[who]
         gain = into - resolution * (size[to] - np.where(stays, k[who], 0.0)) * k[who] / total
         start = np.flatnonzero(np.r_[True, who[1:] != who[:-1]])
@@ -393,7 +399,7 @@ def _moves(g: Csr, k: np.ndarray, total: float, numbers: np.ndarray, resolution:
         here[who[stays]] = into[stays]
         now = here - resolution * (size[c] - k) * k / total
         voter = who[start]
-        go = turn[voter] & (most > now[voter] + least)
+        go = most > now[voter] + least
         changed = int((best[go] != c[voter[go]]).sum())
         c = c.copy()
         c[voter[go]] = best[go]
