@@ -98,5 +98,5 @@ def test_map_of_minima_knows_all_and_documents_are_read_once(spark):
     assert _Listed(asked[:3000]).has(asked).tolist() == [True] * 3000 + [False] * 3000
     words = [f"w{k}" for k in range(200)]
     documents = [(k, " ".join(rng.choices(words, k=5) + words[k : k + 13] + rng.choices(words, k=5))) for k in range(40)]
-    items = [(k, " ".join(words[3 * k : 3 * k + 15])) for k in range(20)]
+    items = [(f"i{k}", " ".join(words[3 * k : 3 * k + 15])) for k in range(20)]
     assert search(spark, documents, items, block_minima=0, map_bits=128) == search(spark, documents, items)
