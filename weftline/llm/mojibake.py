@@ -426,9 +426,16 @@ class GarbledText:
         by the pattern of their characters (not ``whole``). Skeletons are hashed."""
         schema = T._parse_datatype_string("skeleton binary, line string, odd int, whole boolean")
 
+        def told(line: str) -> tuple:
+            """What the line leaves without non-ASCII characters, whether that is little, how odd it is, and its passages."""
+            own = _RUN.sub("", line)
+            few = len(_LETTER.findall(own)) < OWN_LETTERS
+            return own.encode(), few, _odd(line), [(xxhash.xxh3_128_digest(pattern), text, _odd(text)) for pattern, text in _passages(line)]
+
         def strip(batches):
+            again = lru_cache(maxsize=1 << 13)(told)  # lines recur: of short ones the last are kept
             for b in batches:
-                keys, lines, whole = [], [], []
+                keys, lines, odd, whole = [], [], [], []
                 for t in b.column(0).to_pylist():
                     if not t or t.isascii():
                         continue
@@ -438,13 +445,12 @@ class GarbledText:
                         if line.isascii():
                             before = line.encode() or before
                             continue
-                        own = _RUN.sub("", line)
-                        few = len(_LETTER.findall(own)) < OWN_LETTERS
-                        before = xxhash.xxh3_128_digest(before + own.encode() if few else own.encode())
-                        keys.append(before), lines.append(line), whole.append(True)
-                        for pattern, text in _passages(line):
-                            keys.append(xxhash.xxh3_128_digest(pattern)), lines.append(text), whole.append(False)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string()), pa.array(map(_odd, lines), pa.int32()), pa.array(whole, pa.bool_())], names=schema.names)
+                        own, few, how_odd, passages = again(line) if len(line) < 500 else told(line)
+                        before = xxhash.xxh3_128_digest(before + own if few else own)
+                        keys.append(before), lines.append(line), odd.append(how_odd), whole.append(True)
+                        for pattern, text, how_odd in passages:
+                            keys.append(pattern), lines.append(text), odd.append(how_odd), whole.append(False)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(lines, pa.string()), pa.array(odd, pa.int32()), pa.array(whole, pa.bool_())], names=schema.names)
 
         return self._source().select("text").mapInArrow(strip, schema)
 
