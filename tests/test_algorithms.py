@@ -235,6 +235,33 @@ def test_communities_distributed(spark, distributed):
     assert len(set(values(w.label_propagation(e, seed=7)).values())) <= 2
 
 
+def test_louvain_beyond_the_bound_joins_nothing_in_half_sweeps(spark, monkeypatch):
+    """Blocks of links, with the last levels in one task or without, find what one task and the loop of joins find."""
+    from weftline.operators import distributed, node_values
+
+    rows = [*random_graph(13, n=60, m=400), *((k, k, 2.0) for k in range(0, 60, 7)), (1, 2, 0.0)]
+    e = lambda: w.from_edgelist([(f"é{a}", f"é{b}", x / 3) for a, b, x in rows])
+    once = values(w.louvain(e(), weight=w.col("weight"), seed=4))
+    monkeypatch.setattr(distributed, "BLOCK_LINKS", 200, raising=False)
+    joins = node_values.louvain_rounds
+    monkeypatch.setattr(node_values, "louvain_rounds", lambda *_: pytest.fail("a loop of joins"))
+    try:
+        for limit in ("0", "150"):  # at 150 the first level only is beyond the bound
+            spark.conf.set("weftline.kernel.edges", limit)
+            assert values(w.louvain(e(), weight=w.col("weight"), seed=4)) == once
+        assert values(w.louvain(w.from_edgelist([(1, 2, 0.0), (3, 3, 0.0)]), weight=w.col("weight"))) == {1: 0, 2: 1, 3: 2}
+        spark.conf.set("weftline.kernel.edges", "0")
+        assert values(w.louvain(w.from_edgelist([(1, 2, 0.0), (3, 3, 0.0)]), weight=w.col("weight"))) == {1: 0, 2: 1, 3: 2}
+        assert values(w.louvain(w.from_edgelist([(3, 3, 1.0), (5, 5, 1.0)]), weight=w.col("weight"))) == {3: 0, 5: 1}
+        rows = random_graph(11)
+        blocks = values(w.louvain(e(), weight=w.col("weight"), seed=4))
+        monkeypatch.setattr(node_values, "louvain_rounds", joins)
+        monkeypatch.setattr(distributed, "SHARED_NODES", 0)
+        assert values(w.louvain(e(), weight=w.col("weight"), seed=4)) == blocks
+    finally:
+        spark.conf.unset("weftline.kernel.edges")
+
+
 def test_betweenness_sample(spark):
     e = w.from_edgelist(random_graph(5))
     assert values(w.betweenness(e, sample=1.0)) == pytest.approx(values(w.betweenness(e)))
