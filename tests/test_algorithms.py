@@ -262,6 +262,26 @@ def test_louvain_beyond_the_bound_joins_nothing_in_half_sweeps(spark, monkeypatc
         spark.conf.unset("weftline.kernel.edges")
 
 
+def test_betweenness_enters_a_level_by_the_fewer_edges(monkeypatch):
+    """From the newest nodes, or from those not yet reached, source by source, with the sums of all sources at once."""
+    import numpy as np
+
+    from weftline.operators import kernels as K
+
+    rng = np.random.default_rng(8)
+    src, dst = (rng.integers(0, 400, 4000) ** 2 // 400 for _ in range(2))
+    graph, followed = K.Csr(400, src, dst), []
+    back, slots = graph.reversed(), K.Csr.out_slots
+    monkeypatch.setattr(K.Csr, "out_slots", lambda g, nodes: followed.append((bool(np.array_equal(g.src, back.src)), len(found := slots(g, nodes)))) or found)
+    one, together = np.zeros(400), np.zeros(400)
+    for k in range(400):
+        K.brandes(graph, np.array([k]), one)
+    assert {way for way, _ in followed} == {False, True}
+    assert sum(n for _, n in followed) < 0.7 * 400 * len(src)
+    K.brandes(graph, np.arange(400), together)
+    assert one == pytest.approx(together)
+
+
 def test_betweenness_sample(spark):
     e = w.from_edgelist(random_graph(5))
     assert values(w.betweenness(e, sample=1.0)) == pytest.approx(values(w.betweenness(e)))
